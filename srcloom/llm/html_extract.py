@@ -40,6 +40,8 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CLIP = 4.0
 #: Words counted of one negative stretch: a long advert between two paragraphs doesn't part them.
 STRETCH = 8
+#: What is left out by its own sign weighs less than what the region gains by bridging it.
+GAP = 0.15
 OPENERS = frozenset("t:article t:main c:content c:article c:post c:entry c:body c:story c:main c:text".split())
 
 
@@ -161,7 +163,7 @@ class Scorer:
             if len(self.cache) > 50_000:
                 self.cache.clear()
             gain = sum(self.by_feature.get(f, 0.0) for f in new)
-            self.cache[key] = (seen | new, score + gain, content or (gain > 0 and score + gain > 0 and not OPENERS.isdisjoint(new)))
+            self.cache[key] = (seen | new, score + gain, content or (score + gain > 0 and not OPENERS.isdisjoint(new)))
         return self.cache[key]
 
 
@@ -184,7 +186,7 @@ def main_text(page: str | None) -> str:
         if kind == "tag":
             run += 0.0 if score < 0 and content else s.by_tag.get(value, -0.3)
         elif n := len(value.split()):
-            run += 0.0 if score < 0 and content else (min(n, STRETCH) if score < 0 else n) * max(-CLIP, min(CLIP, score))
+            run += 0.0 if score < 0 and content else (min(n, STRETCH) * GAP if score < 0 else n) * max(-CLIP, min(CLIP, score))
         if run <= 0:
             run, run_at = 0.0, i + 1
         elif run > best:

@@ -29,8 +29,16 @@ TEMPLATES: list[list[tuple[int, str]]] = [
     [(0, "<body><nav class='toc'><a>~2</a></nav><div class='wrapper'>"), (1, "<div class='content body'><h1>~4</h1><dl><dt>~2</dt><dd>~20</dd></dl><p>~48 <a>~2</a> ~11 <b>~2</b> ~9 <i>~1</i></p></div>"), (0, "<div class='sidebar rail'><div class='widget'><p>~22</p></div></div></div><div class='footer-links'><ul><li><a>~2</a></li></ul></div>")],
 ]
 
+#: Class names of boilerplate, each of which stands on its own in one more page.
+BOILERPLATE = (
+    "ad ads advert advertisement alert banner breadcrumb comment comments consent cookie copyright disclaimer discussion dropdown footer gdpr header legal login "
+    "menu modal nav navbar navigation newsletter notice notification overlay pagination pager popup promo promotion recommended related replies search share "
+    "sidebar signup social sponsor sponsored subscribe tags teaser toolbar topbar tracking widget"
+).split()
+TEMPLATES += [[(0, f"<body><div class='{name}'><p>~14</p></div><div>"), (1, "<p>~30</p><div>~10</div>"), (0, f"<div id='{name}'>~9</div>"), (1, "<p>~12</p>"), (0, f"</div><div class='{name}'>~9</div></body>")] for name in BOILERPLATE]
 
-def pages(copies: int = 6, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+
+def pages(copies: int = 2, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     """(html, [(start, end) of the article's parts]) for each template, filled anew `copies` times."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
