@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, qda, simhash
+from . import html_extract, ngram_rules, qda, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_rules.judged(table(spark, sf_dir, "documents")).drop("log_ppl")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
