@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, ngram_rules, pieces, pii, ppm, qda, simhash, tiling, warc
+from . import html_extract, ngram_rules, passages, pieces, pii, ppm, qda, simhash, tiling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -57,7 +61,7 @@ def oracle_sql() -> dict:
             WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
             q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS lead FROM p)
             SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-                list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                     ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
                 CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
                 CASE WHEN page_id = lead THEN NULL ELSE lead END AS refers_to
