@@ -1 +1 @@
-
+"""Sources: repository files, and parsers that turn them into facts."""
