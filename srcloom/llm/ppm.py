@@ -106,8 +106,10 @@ def trie(train: DataFrame, keep: int = KEEP, keep_symbols: int = KEEP_SYMBOLS) -
     for k in range(1, ORDER + 2):
         key = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("key")
         kept = grams.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") * keep_symbols >= F.lit(total))
-        rows = kept.toPandas().sort_values("key")  # at most `keep_symbols` rows
-        out[k] = (rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+        rows = kept.toArrow()  # at most `keep_symbols` rows
+        key, n = (rows.column(i).to_numpy() for i in range(2))
+        order = np.argsort(key)
+        out[k] = (key[order], n[order])
     return pruned(out, keep)
 
 
@@ -219,7 +221,7 @@ class Automaton:
         return -np.bincount(doc[order], total, len(texts))
 
 
-_unfolded: dict[str, Automaton] = {}
+_unfolded: dict[str, tuple[dict[bytes, int], Automaton]] = {}
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, keep: int = KEEP, keep_words: int = KEEP_WORDS) -> DataFrame:
@@ -231,19 +233,19 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     words = materialise(train.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     big_n, big_v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = words.orderBy(F.desc("n"), "word").limit(keep_words)
-    top = {bytes(w): int(n) for w, n in frequent.toPandas().itertuples(index=False)}
-    least = min(top.values(), default=0)
+    top = frequent.toArrow()  # at most `keep_words` rows
+    least = min(top.column(1).to_pylist(), default=0)
     nodes = trie(train, keep, KEEP_SYMBOLS)
-    shared = spark.sparkContext.broadcast((top, nodes))
+    shared = spark.sparkContext.broadcast((top, nodes))  # as arrays: workers build what they look up
     name = uuid.uuid4().hex
     whole = np.log10(big_n + 0.1 * (big_v + 1))
 
     def run(batches):
-        known, grams = shared.value
         if name not in _unfolded:
+            words, grams = shared.value
             _unfolded.clear()
-            _unfolded[name] = Automaton(grams)
-        model = _unfolded[name]
+            _unfolded[name] = (dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist())), Automaton(grams))
+        known, model = _unfolded[name]
         for b in batches:
             texts = [lowered(t) for t in b.column(2).to_pylist()]
             n_tokens, n_known, base, rare = [], [], [], []
@@ -274,7 +276,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     schema = "id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<word:binary,tf:long>>"
     rows = materialise(src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
-    tail = words.filter(F.col("n") <= least) if top else words
+    tail = words.filter(F.col("n") <= least) if least else words
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.join(tail, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * (F.log10(c + 0.1) - F.lit(float(whole)))).alias("rare_base")
