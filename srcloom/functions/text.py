@@ -77,7 +77,11 @@ def terms_match(a: Column, b: Column) -> Column:
 
 def any_term_matches(left: Column, right: Column) -> Column:
     """Whether any term of one array matches any of the other; stems are taken once."""
-    return F.exists(F.transform(left, stem), lambda a: F.exists(F.transform(right, stem), lambda b: stems_match(a, b)))
+    return any_stem_matches(F.transform(left, stem), F.transform(right, stem))
+
+
+def any_stem_matches(left: Column, right: Column) -> Column:
+    return F.exists(left, lambda a: F.exists(right, lambda b: stems_match(a, b)))
 
 
 def normalize_body(body: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import materialise
 
 #: BM25, floor of the inverse document frequency, boosts, and the weight and floor of vectors.
 K1, B = 1.5, 0.75
@@ -53,8 +54,8 @@ def chunks(nodes: DataFrame, files: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def index(parts: DataFrame, *keep: str) -> DataFrame:
-    """(id, keep..., terms): the distinct search terms of each chunk."""
-    return parts.select("id", *keep, T.tokens(F.col("searchable")).alias("terms"))
+    """(id, keep..., terms): the distinct search terms of each chunk; stored, since every search reads it several times."""
+    return materialise(parts.select("id", *keep, T.tokens(F.col("searchable")).alias("terms")), "index")
 
 
 def postings(idx: DataFrame) -> DataFrame:
@@ -102,10 +103,12 @@ def bm25(idx: DataFrame, queries: DataFrame, limit: int | None = TOP) -> DataFra
     norm = 1 - B + B * F.col("length") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm)
     scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("base"), F.count("*").alias("matched")).filter("base > 0")
-    names = idx.select("id", T.tokens(F.coalesce("symbol_name", F.lit(""))).alias("name_terms"), T.tokens(F.coalesce("path", F.lit(""))).alias("path_terms"))
-    full = scored.join(names, "id").join(q, "query_id")
-    by_name = T.any_term_matches(F.col("name_terms"), F.col("q_terms"))
-    by_path = F.exists("q_terms", lambda t: F.length(t) >= 3) & T.any_term_matches(F.col("path_terms"), F.col("q_terms"))
+    stems_of = lambda c: F.transform(T.tokens(F.coalesce(c, F.lit(""))), T.stem)
+    names = idx.select("id", stems_of("symbol_name").alias("name_stems"), stems_of("path").alias("path_stems"))
+    terms = q.select("query_id", "q_terms", F.transform("q_terms", T.stem).alias("q_stems"), F.exists("q_terms", lambda t: F.length(t) >= 3).alias("strong"))
+    full = scored.join(names, "id").join(terms, "query_id")
+    by_name = T.any_stem_matches(F.col("name_stems"), F.col("q_stems"))
+    by_path = F.col("strong") & T.any_stem_matches(F.col("path_stems"), F.col("q_stems"))
     full = full.withColumns({"by_name": by_name, "by_path": by_path})
     score = F.col("base") * F.when(F.col("by_name"), SYMBOL_BOOST).otherwise(1.0) * F.when(F.col("by_path"), PATH_BOOST).otherwise(1.0)
     reasons = F.array_compact(F.array(F.concat("matched", F.lit("/"), F.size("q_terms"), F.lit(" query terms matched")), F.when(F.col("by_name"), F.lit("symbol name matches a query term")), F.when(F.col("by_path"), F.lit("file path matches a query term"))))
@@ -124,8 +127,8 @@ def top(scored: DataFrame, limit: int = TOP) -> DataFrame:
 def with_embeddings(parts: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks with the embedding of their id; an error if counts differ."""
     counts = parts.agg(F.count("*").alias("n")).crossJoin(vectors.agg(F.count("*").alias("v")))
-    checked = counts.select(F.assert_true(F.col("n") == F.col("v"), F.lit("embeddings and chunks differ in number")).isNull().alias("ok"))
-    return parts.join(vectors, "id", "left").crossJoin(F.broadcast(checked)).drop("ok")
+    checked = counts.filter(F.assert_true(F.col("n") == F.col("v"), F.lit("embeddings and chunks differ in number")).isNull()).select(F.lit(True).alias("ok"))
+    return parts.join(vectors, "id", "left").crossJoin(F.broadcast(checked)).filter("ok").drop("ok")  # one row
 
 
 def similar(vectors: DataFrame, query: list[float]) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialise
+
 #: Slices: default and greatest number of nodes; the same for searches; greatest depth of a neighbourhood; rows of a write batch.
 SLICE_LIMIT, SLICE_MOST = 300, 2000
 SEARCH_LIMIT, SEARCH_MOST = 50, 200
@@ -73,12 +75,13 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, repo: str, node_id: str, de
     own = in_repo(edges, repo)
     ids = in_repo(nodes, repo).select("id")
     own = own.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    both = own.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).union(own.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).distinct()
+    both = own.select(F.explode(F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))).alias("x")).select("x.*")
     reached = [own.sparkSession.createDataFrame([(node_id,)], "id string")]
-    for _ in range(depth):
+    for _ in range(depth - 1):
         reached.append(both.join(reached[-1], both["a"] == reached[-1]["id"], "left_semi").select(F.col("b").alias("id")).distinct())
-    near = reduce(DataFrame.union, reached[:-1]).distinct()  # an edge at one of these is on a path
-    on_path = own.filter(F.lit(True)).join(near.withColumnRenamed("id", "from_id"), "from_id", "left_semi").unionByName(own.join(near.withColumnRenamed("id", "to_id"), "to_id", "left_semi")).dropDuplicates(["id"])
+    near = materialise(reduce(DataFrame.union, reached).distinct(), "near")  # an edge at one of these is on a path
+    at = F.explode(F.array_distinct(F.array("from_id", "to_id")))
+    on_path = materialise(own.withColumn("end", at).join(near.withColumnRenamed("id", "end"), "end", "left_semi").drop("end").dropDuplicates(["id"]), "paths")
     ends = on_path.select(F.col("from_id").alias("id")).union(on_path.select(F.col("to_id").alias("id"))).distinct()
     return in_repo(nodes, repo).join(ends, "id", "left_semi"), on_path
 
@@ -139,8 +142,6 @@ def dedupe_edges(edges: DataFrame, *order: Column) -> DataFrame:
 def batches(df: DataFrame, *order: Column, size: int = BATCH) -> DataFrame:
     """df with `batch`: consecutive groups of `size` rows. Row numbers come from a range partitioning and per-partition counts, so no task sees all rows."""
     spark = df.sparkSession
-    from ..functions.lineage import materialise
-
     sorted_rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "batches")
     counts = sorted_rows.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()  # a row a partition
     offsets, total = [], 0

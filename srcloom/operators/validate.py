@@ -56,7 +56,7 @@ def repo_id(owner: Column, repo: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Trimmed, non-empty items of a comma-separated list."""
-    return F.filter(F.transform(F.split(text, ",", -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ",", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clone_error(message: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import materialise
+
 REPO = "r1"
 
 
@@ -47,18 +49,24 @@ _EDGES = (
 )
 
 
-def _views(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {n: table(spark, sf_dir, n) for n in names}
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _store(spark: SparkSession, sf_dir: str, name: str, text: str) -> DataFrame:
+    """The graph is stored once a session, as queries expect to find it, ordered by what they filter on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = materialise(_sql(spark, sf_dir, text).sortWithinPartitions("repo_id", "kind"), name)
+    return _stored[key]
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = " UNION ALL ".join(_NODES).replace("VARCHAR(1)", "STRING")
-    return _sql(spark, sf_dir, text)
+    return _store(spark, sf_dir, "nodes", " UNION ALL ".join(_NODES).replace("VARCHAR(1)", "STRING"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = " UNION ALL ".join(_EDGES).replace("VARCHAR(1)", "STRING")
-    return _sql(spark, sf_dir, f"SELECT repo_id, concat(from_id, '-', kind, '->', to_id) AS id, kind, from_id, to_id, resolution, CAST(confidence AS DOUBLE) AS confidence, CAST(line AS INT) AS line FROM ({text})")
+    return _store(spark, sf_dir, "edges", f"SELECT repo_id, concat(from_id, '-', kind, '->', to_id) AS id, kind, from_id, to_id, resolution, CAST(confidence AS DOUBLE) AS confidence, CAST(line AS INT) AS line FROM ({text})")
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -53,9 +53,9 @@ def graph_slice_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return store.slice_nodes(A.nodes(spark, sf), "r1", 50, ["Function", "Method"], "r1/", "typescript", "7").select(*SLICE)
 
 
-@query(O.graph("SELECT repo_id, id, kind, name, path, start_line FROM nodes WHERE repo_id = 'r1' AND starts_with(path, '') AND kind <> 'Method' ORDER BY kind, path, start_line NULLS LAST, id LIMIT 2000"))
+@query(O.graph("SELECT repo_id, id, kind, name, path, start_line FROM nodes WHERE repo_id = 'r1' AND starts_with(path, '') ORDER BY kind, path, start_line NULLS LAST, id LIMIT 2000"))
 def prefix_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return store.slice_nodes(A.nodes(spark, sf).filter("kind <> 'Method'"), "r1", 5000, path_prefix="").select(*SLICE)
+    return store.slice_nodes(A.nodes(spark, sf), "r1", 5000, path_prefix="").select(*SLICE)
 
 
 @query(O.graph("s AS (SELECT id FROM nodes WHERE repo_id = 'r1' AND kind IN ('File', 'Function', 'ExternalModule') ORDER BY kind, path NULLS LAST, start_line NULLS LAST, id LIMIT 900)", "SELECT e.id, e.kind, from_id, to_id, coalesce(resolution, 'unknown') AS resolution, coalesce(confidence, 0) AS confidence, line FROM edges e WHERE repo_id = 'r1' AND from_id IN (SELECT id FROM s) AND to_id IN (SELECT id FROM s)"))
@@ -110,13 +110,13 @@ ORACLES["neighborhood_edges"] = O.neighborhood(2, "SELECT id, kind, from_id, to_
 @query(O.CHANGE)
 def fingerprint_diff(spark: SparkSession, sf: str) -> DataFrame:
     f = A.files(spark, sf)
-    old = f.filter("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("doc_id") % 11 == 0, "0").otherwise("1").alias("parser_version"))
-    return store.changed_files(old, f.filter("doc_id % 3 <> 0").select("path", "content_hash"), "1")
+    old = f.select(F.when(F.col("doc_id") % 7 == 0, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 5 == 0, "stale").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("doc_id") % 11 == 0, "0").otherwise("1").alias("parser_version"))
+    return store.changed_files(old, f.select("path", "content_hash"), "1")
 
 
-@query(O.graph("SELECT id, kind, CASE WHEN kind = 'Interface' AND id LIKE '%7' THEN 'renamed' ELSE name END AS name FROM nodes WHERE kind IN ('Interface', 'ExternalModule') UNION ALL SELECT 'new:1', 'Interface', 'fresh'"))
+@query(O.graph("SELECT id, kind, CASE WHEN kind = 'Interface' AND id LIKE '%7' THEN 'renamed' ELSE name END AS name FROM nodes UNION ALL SELECT 'new:1', 'Interface', 'fresh'"))
 def upsert_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    n = A.nodes(spark, sf).filter(F.col("kind").isin("Interface", "ExternalModule"))
+    n = A.nodes(spark, sf)
     new = n.filter("kind = 'Interface' AND id LIKE '%7'").withColumn("name", F.lit("renamed"))
     fresh = new.sparkSession.range(1).select(*[F.lit({"repo_id": "r1", "id": "new:1", "kind": "Interface", "name": "fresh"}.get(c)).cast(t).alias(c) for c, t in n.dtypes])
     return store.upsert(n, new.unionByName(fresh), ["repo_id", "id"]).select("id", "kind", "name")
@@ -140,9 +140,9 @@ def edge_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     return store.dedupe_edges(e, F.col("seq")).select("from_id", "to_id", "line")
 
 
-@query(O.graph("SELECT batch::BIGINT AS batch, count(*) AS n FROM (SELECT floor((row_number() OVER (ORDER BY id) - 1) / 500) AS batch FROM nodes WHERE kind = 'Interface') GROUP BY batch"))
+@query(O.graph("SELECT batch::BIGINT AS batch, count(*) AS n FROM (SELECT floor((row_number() OVER (ORDER BY id) - 1) / 500) AS batch FROM nodes) GROUP BY batch"))
 def write_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return store.batches(A.nodes(spark, sf).filter("kind = 'Interface'"), F.col("id")).groupBy("batch").agg(F.count("*").alias("n"))
+    return store.batches(A.nodes(spark, sf), F.col("id")).groupBy("batch").agg(F.count("*").alias("n"))
 
 
 @query(O.graph("SELECT repo_id, count(*) AS n FROM nodes WHERE repo_id <> 'r2' GROUP BY repo_id"))
@@ -150,13 +150,11 @@ def clear_repository(spark: SparkSession, sf: str) -> DataFrame:
     return store.clear_repository(A.nodes(spark, sf), "r2").groupBy("repo_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT path, max(content_hash) AS content_hash FROM (SELECT 'p' || doc_id % 50 AS path, sha256(text) AS content_hash FROM documents WHERE doc_id >= (SELECT max(doc_id) - 49 FROM documents)) GROUP BY path")
+@query("WITH o AS (SELECT 'p' || doc_id AS path, 'old' AS content_hash FROM documents), n AS (SELECT 'p' || 2 * doc_id AS path, sha256(text) AS content_hash FROM documents) SELECT * FROM n UNION ALL SELECT * FROM o WHERE path NOT IN (SELECT path FROM n)")
 def save_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     d = A.files(spark, sf)
-    last = d.agg(F.max("doc_id").alias("m"))
-    row = lambda df: df.select(F.lit("r1").alias("repo_id"), F.concat(F.lit("p"), F.col("doc_id") % 50).alias("path"), "content_hash")
-    new = d.join(F.broadcast(last), d["doc_id"] >= last["m"] - 49, "left_semi")  # one row
-    return store.save_fingerprints(row(d.filter("doc_id < 50")), row(new)).select("path", "content_hash")
+    row = lambda n, h: d.select(F.lit("r1").alias("repo_id"), F.concat(F.lit("p"), n).alias("path"), h.alias("content_hash"))
+    return store.save_fingerprints(row(F.col("doc_id"), F.lit("old")), row(F.col("doc_id") * 2, F.col("content_hash"))).select("path", "content_hash")
 
 
 # impact and cycles
@@ -170,7 +168,7 @@ def _impact(origin: str, direction: str, depth: int = 3):
     return run
 
 
-for _name, _origin, _way, _depth in (("impact_up", "if:7", "upstream", 3), ("impact_down", "fn:11", "downstream", 3), ("impact_depth1", "if:7", "upstream", 1)):
+for _name, _origin, _way, _depth in (("impact_up", "if:7", "upstream", 3), ("impact_down", "fn:6", "downstream", 3), ("impact_depth1", "if:7", "upstream", 1)):
     QUERIES[_name] = _impact(_origin, _way, _depth)
     ORACLES[_name] = O.impact([_origin], _way, _depth, "SELECT node_id, min(depth) AS depth FROM reach WHERE depth > 0 GROUP BY node_id")
 
@@ -277,14 +275,14 @@ def resolve_stats(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.resolve(*X.facts(spark))[2].select("files", "functions", "classes", "imports", "calls", "resolved_calls", "inferred_calls", "unknown_calls", "external_modules")
 
 
-@query()
-def parse_javascript(spark: SparkSession, sf: str) -> DataFrame:
+@query(O.values("expected", X.EXPECTED_SYMBOLS, "path, qualified_name, kind, start_line, end_line, is_exported, complexity", "SELECT * FROM expected"))
+def parse_sources(spark: SparkSession, sf: str) -> DataFrame:
     files = source.describe(X.frame(spark, X.SOURCES, "path string, content string"), "sample")
     _, _, symbols, _ = registry.facts(registry.parse(files))
     return symbols.select("path", "qualified_name", "kind", "start_line", "end_line", "is_exported", "complexity")
 
 
-@query()
+@query(O.values("expected", X.EXPECTED_GRAPH, "kind, from_id, to_id, resolution, confidence, line", "SELECT * REPLACE (confidence::DOUBLE AS confidence) FROM expected"))
 def parse_graph(spark: SparkSession, sf: str) -> DataFrame:
     files = source.describe(X.frame(spark, X.SOURCES, "path string, content string"), "sample")
     nodes, edges, _ = resolve.resolve(*registry.facts(registry.parse(files)))
@@ -363,14 +361,15 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[float]]:
-    v = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    v = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     return v, [float(x) for x in v.orderBy("id").first()["embedding"]]  # one row: the query vector
 
 
-@query(O.COSINE + ", lex AS (SELECT vec_id, 1 + vec_id % 7 AS score FROM embeddings WHERE vec_id % 3 = 0), m AS (SELECT max(score) AS most FROM lex), b AS (SELECT vec_id, CASE WHEN score IS NOT NULL THEN score / most + 0.35 * similarity WHEN similarity > 0.2 THEN 0.35 * similarity END AS score FROM s LEFT JOIN lex USING (vec_id), m) SELECT vec_id, round(score, 5) AS score FROM b WHERE score IS NOT NULL")
+@query(O.COSINE + ", lex AS (SELECT vec_id, 1 + vec_id % 7 AS score FROM embeddings WHERE label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1)), m AS (SELECT max(score) AS most FROM lex), b AS (SELECT vec_id, CASE WHEN score IS NOT NULL THEN score / most + 0.35 * similarity WHEN similarity > 0.2 THEN 0.35 * similarity END AS score FROM s LEFT JOIN lex USING (vec_id), m) SELECT vec_id, round(score, 5) AS score FROM b WHERE score IS NOT NULL")
 def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
     v, q = _vectors(spark, sf)
-    lex = v.filter("id % 3 = 0").select("id", (1 + F.col("id") % 7).cast("double").alias("score"))
+    own = v.orderBy("id").limit(1).select("label")  # hits: the vectors with the query's label
+    lex = v.join(F.broadcast(own), "label", "left_semi").select("id", (1 + F.col("id") % 7).cast("double").alias("score"))
     return retrieval.blend(lex, v, q).select(F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
@@ -419,8 +418,8 @@ def _part_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.metrics("u AS (SELECT DISTINCT 'p' || l_partkey AS id FROM lineitem WHERE l_quantity < 5)", "SELECT 'dead:' || id AS id, 'dead-code' AS kind, 'low' AS severity, CAST(NULL AS DOUBLE) AS metric FROM n ANTI JOIN u USING (id) WHERE NOT is_exported AND NOT is_test"))
 def q_dead(spark: SparkSession, sf: str) -> DataFrame:
-    li = A.table(spark, sf, "lineitem").filter("l_quantity < 5")
-    e = li.select(F.concat(F.lit("o"), "l_orderkey").alias("from_id"), F.concat(F.lit("p"), "l_partkey").alias("to_id"), F.lit("CALLS").alias("kind"))
+    li = A.table(spark, sf, "lineitem")
+    e = li.select(F.concat(F.lit("o"), "l_orderkey").alias("from_id"), F.concat(F.lit("p"), "l_partkey").alias("to_id"), F.when(F.col("l_quantity") < 5, "CALLS").otherwise("DEFINES").alias("kind"))
     return quality.dead_code(A.metrics_nodes(spark, sf), e).select(*_FINDING)
 
 
@@ -483,12 +482,9 @@ def job_latest(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.latest(A.job_events(spark, sf)).select("job_id", "event_seq", "status", "attempt")
 
 
-@query(O.jobs("SELECT job_id, created_at, row_number() OVER (ORDER BY created_at DESC, job_id) AS place FROM latest ORDER BY place LIMIT 100"))
+@query(O.jobs("SELECT job_id, created_at FROM latest ORDER BY created_at DESC, job_id"))
 def job_list(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    top = jobs.listing(A.job_events(spark, sf)).limit(100)
-    return top.select("job_id", "created_at", F.row_number().over(Window.orderBy(F.desc("created_at"), "job_id")).cast("long").alias("place"))
+    return jobs.listing(A.job_events(spark, sf)).select("job_id", "created_at")
 
 
 @query(O.jobs("t AS (SELECT greatest(0, count(*) - 100) AS surplus FROM latest), g AS (SELECT job_id, row_number() OVER (ORDER BY coalesce(finished_at, 0), created_at, job_id) AS n FROM latest WHERE status IN ('completed', 'failed', 'cancelled'))", "SELECT job_id FROM latest WHERE job_id NOT IN (SELECT job_id FROM g, t WHERE n <= surplus)"))

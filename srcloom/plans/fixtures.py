@@ -69,6 +69,17 @@ SOURCES = [
     ("broken.js", "function ( {\n"),
 ]
 
+EXPECTED_SYMBOLS = [
+    ("app.js", "main", "Function", 3, 8, True, 2), ("app.js", "helper", "Function", 10, 12, False, 1), ("util.js", "check", "Function", 1, 3, True, 2), ("util.js", "total", "Function", 5, 5, True, 1), ("util.js", "Store", "Class", 7, 9, True, 1),
+    ("util.js", "Store.save", "Method", 8, 8, True, 1), ("lib/auth.py", "Auth", "Class", 4, 6, False, 1), ("lib/auth.py", "Auth.login", "Method", 5, 6, False, 1), ("lib/auth.py", "main", "Method", 8, 9, False, 1),
+]
+_G, _H = "symbol:sample:", "file:sample:"
+EXPECTED_GRAPH = [("DEFINES", _H + p, f"{_G}{p}#{q}@{a}", "resolved", 1.0, a) for p, q, _, a, _, _, _ in EXPECTED_SYMBOLS] + [
+    ("IMPORTS", _H + "app.js", _H + "util.js", "resolved", 1.0, 1), ("IMPORTS", _H + "lib/auth.py", "external:sample:.db", "resolved", 1.0, 1), ("IMPORTS", _H + "lib/auth.py", "external:sample:os", "resolved", 1.0, 2),
+    ("CALLS", _G + "app.js#main@3", _G + "util.js#check@1", "resolved", 0.95, 4), ("CALLS", _G + "app.js#main@3", _G + "util.js#total@5", "resolved", 0.95, 5), ("CALLS", _G + "app.js#main@3", _G + "app.js#helper@10", "resolved", 1.0, 7),
+    ("CALLS", _G + "util.js#Store.save@8", _G + "util.js#check@1", "resolved", 1.0, 8), ("CALLS", _G + "lib/auth.py#main@8", _G + "lib/auth.py#Auth@4", "resolved", 1.0, 9),
+]
+
 _AUTH = "export function authenticateUser(name, password) {\n  const session = createSession(name);\n  return session;\n}\n\nexport function renderPage(html) {\n  return html.trim();\n}\n"
 
 
@@ -100,5 +111,5 @@ URLS = [
     ("https://github.com/facebook/react", "facebook/react", None), ("github.com/Facebook/React.git", "facebook/react", None), (" https://www.github.com/a/b/ ", "a/b", None), ("https://github.com/a/b/tree/main", "a/b", None), ("https://github.com/a/b/tree/main/src", None, _ROOT),
     ("https://github.com/a/b/blob/main/x.js", "a/b", None), ("https://github.com/a/b/releases", "a/b", None), ("https://gitlab.com/a/b", None, _HOST), ("https://evil.github.com/a/b", None, _HOST), ("http://github.com/a/b", None, "Repository URL must use https"),
     ("https://user:pw@github.com/a/b", None, "Repository URL must not contain credentials"), ("https://github.com/a", None, "Repository URL must include an owner and a repository name"), ("", None, "Repository URL is required"), (None, None, "Repository URL is required"),
-    ("https://github.com/a;b/c", None, "Repository owner contains invalid characters"), ("https://github.com/a/b;rm -rf", None, "Repository URL is not a valid URL"), ("https://github.com/a/b$c", None, "Repository name contains invalid characters"), ("ftp://github.com/a/b", None, "Repository URL is not a valid URL"),
+    ("https://github.com/a;b/c", None, "Repository owner contains invalid characters"), ("https://github.com/a/b;rm -rf", None, "Repository URL is not a valid URL"), ("https://github.com/a/b$c", None, "Repository name contains invalid characters"), ("ftp://github.com/a/b", None, _HOST),
 ]

@@ -66,8 +66,8 @@ def impact(origins: list[str], direction: str, depth: int, select: str) -> str:
 
 
 CHANGE = files(
-    "o AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'stale' ELSE content_hash END AS h, CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS v FROM files WHERE doc_id % 7 <> 0)",
-    "c AS (SELECT path, content_hash FROM files WHERE doc_id % 3 <> 0)",
+    "o AS (SELECT path || CASE WHEN doc_id % 7 = 0 THEN '.old' ELSE '' END AS path, CASE WHEN doc_id % 5 = 0 THEN 'stale' ELSE content_hash END AS h, CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS v FROM files)",
+    "c AS (SELECT path, content_hash FROM files)",
     "SELECT coalesce(o.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'deleted' WHEN o.path IS NULL OR o.h <> c.content_hash OR o.v <> '1' THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN c ON o.path = c.path",
 )
 
@@ -102,8 +102,8 @@ def stem(term: str) -> str:
 def windows(*parts: str) -> str:
     chunks = (
         "r AS (SELECT path, regexp_split_to_array(content, '\\r?\\n') AS rows FROM files WHERE length(content) > 0), "
-        f"w AS (SELECT path, rows, unnest(range(0, len(rows), {WINDOW})) AS at FROM r), "
-        f"chunks AS (SELECT 'file:r1:' || path || ':' || (at + 1) AS id, path, (at + 1)::INT AS start_line, least(at + {WINDOW}, len(rows))::INT AS end_line, array_to_string(rows[at + 1 : at + {WINDOW}], chr(10)) AS text FROM w WHERE NOT regexp_full_match(array_to_string(rows[at + 1 : at + {WINDOW}], chr(10)), '\\s*'))"
+        f"w AS (SELECT path, rows, unnest(range(0, len(rows), {WINDOW})) AS base FROM r), "
+        f"chunks AS (SELECT 'file:r1:' || path || ':' || (base + 1) AS id, path, (base + 1)::INT AS start_line, least(base + {WINDOW}, len(rows))::INT AS end_line, array_to_string(rows[base + 1 : base + {WINDOW}], chr(10)) AS text FROM w WHERE NOT regexp_full_match(array_to_string(rows[base + 1 : base + {WINDOW}], chr(10)), '\\s*'))"
     )
     return files(chunks, *parts)
 

@@ -25,7 +25,7 @@ def totals(events: DataFrame) -> DataFrame:
 def run_to_end(spark: SparkSession, path: str, adapt, aggregate=totals) -> DataFrame:
     """Streams the Parquet files at a path through adapt and the aggregate until none is left; the result as a static table."""
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(path if path.endswith("*") else path)
+    source = spark.readStream.schema(schema).parquet(f"{path[:-1]}*")  # a pattern finds a table that is one file as well as a folder
     out = new_path(spark, "stream")
 
     def write(batch: DataFrame, epoch: int) -> None:
