@@ -217,6 +217,30 @@ def self_loops(spark: SparkSession, sf: str) -> DataFrame:
     return e.filter("from_id = to_id").select("from_id").distinct().agg(F.count("*").alias("n"))
 
 
+# files
+
+
+@query(O.files("SELECT path, content_hash, '1' AS parser_version, strlen(content) AS size_bytes FROM files"))
+def file_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    files = source.describe(A.files(spark, sf).select("path", "content"), "r1")
+    return source.fingerprints(files, "1", 0).select("path", "content_hash", "parser_version", "size_bytes")
+
+
+@query(O.files("SELECT path, array_to_string(regexp_split_to_array(content, '\\r?\\n')[2:4], chr(10)) AS body FROM files"))
+def line_slices(spark: SparkSession, sf: str) -> DataFrame:
+    return A.files(spark, sf).select("path", T.slice_lines(F.col("content"), F.lit(2), F.lit(4)).alias("body"))
+
+
+@query(O.values("v", X.CLONE_ERRORS, "message, expected", "SELECT message, expected AS friendly FROM v"))
+def clone_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return X.frame(spark, X.CLONE_ERRORS, "message string, expected string").select("message", validate.clone_error(F.col("message")).alias("friendly"))
+
+
+@query("SELECT doc_id, floor(greatest(0, least(1, (n_chars - 500) / 4000)) * 100 + 0.5)::BIGINT AS progress FROM documents")
+def job_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "documents").select("doc_id", jobs.progress((F.col("n_chars") - 500) / 4000).alias("progress"))
+
+
 # resolution
 
 

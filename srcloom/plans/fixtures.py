@@ -98,6 +98,7 @@ TERM_PAIRS = [
     ("authentication", "authenticate", True), ("sessions", "session", True), ("login", "logout", False), ("add", "address", False), ("user", "users", True), ("work", "works", True), ("user", "user", True), ("implemented", "implementation", True), ("cat", "cats", False), ("storage", "store", False),
 ]
 
+CLONE_ERRORS = [("fatal: Authentication failed for x", "private or needs authentication"), ("remote: Repository not found.", "not found"), ("Could not resolve host: x", "network unreachable"), ("disk full", "clone failed")]
 PLACEHOLDERS = [("AKIA" + "IOSFODNN7" + "EXAMPLE", True), ("change-me", True), ("your_password_here", True), ("AKIA" + "QZ3T7RWK2LMN8PV5", False), ("changeme", True), ("s3cr3t-value-9", False)]
 _KEY, _TOKEN = "AKIA" + "QZ3T7RWK2LMN8PV5", "ghp_" + "a1B2c3D4e5" * 3 + "f6G7h8"
 SECRET_FILES = [

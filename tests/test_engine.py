@@ -241,3 +241,32 @@ def test_components_are_mutual_reachability(pairs):
         reach |= more
     want = {(x, min(y for y in range(8) if (x, y) in reach and (y, x) in reach)) for x in range(8) if any(x != y and (x, y) in reach and (y, x) in reach for y in range(8))}
     assert set(graph._tarjan([p for p in pairs if p[0] != p[1]])) == {(x, min(x, y)) for x, y in want}
+
+
+def test_service(spark, tmp_path):
+    from srcloom.plans.service import BadRequest, Service, log_entry
+
+    s = Service(spark, f"file://{tmp_path}/svc", lambda url, ref: X.frame(spark, X.SOURCES, "path string, content string"), 1)
+    job = s.wait(s.analyze("https://github.com/Owner/Name")["job_id"])
+    assert job["status"] == "completed" and job["stats"]["changed"] == 4 and job["stats"]["errors"] == 1
+    assert s.stats("owner/name")["CALLS"] == 5 and s.search("owner/name", "CHECK")[0]["name"] == "check"
+    g = s.graph("owner/name", "50", "File")
+    assert len(g["nodes"]) == 3 and {e["kind"] for e in g["edges"]} == {"IMPORTS"} and not g["truncated"]
+    n, e = s.neighbors("owner/name", "file:owner/name:app.js", "1")
+    assert n.count() == 4 and e.count() == 3
+    assert s.metrics()["completed"] == 1 and s.repositories().first()["files"] == 3 and s.health()["status"] == "ok" and "go" in s.capabilities()["languages"]
+    for bad in (lambda: s.analyze("http://github.com/a/b"), lambda: s.graph("owner/name", "many"), lambda: s.search("owner/name", "x" * 201), lambda: s.stats("none/such")):
+        with pytest.raises(BadRequest):
+            bad()
+    s.delete("owner/name")
+    s.queue.close()
+    line = log_entry("error", "db", "failed", {"error": ValueError("x")}, 0)
+    assert '"timestamp": "1970-01-01T00:00:00Z"' in line and '"name": "ValueError"' in line and "context" not in log_entry("info", "a", "b")
+
+
+def test_window_chunks_and_bodies(spark):
+    files = X.frame(spark, [("r1", "a.txt", "\n".join(["x"] * 250), None), ("r1", "b.txt", "  \n\t\n", None), ("r1", "c.txt", "", None)], "repo_id string, path string, content string, language string")
+    got = retrieval.window_chunks(files).orderBy("start_line").select("id", "start_line", "end_line").collect()
+    assert [tuple(r) for r in got] == [("file:r1:a.txt:1", 1, 120), ("file:r1:a.txt:121", 121, 240), ("file:r1:a.txt:241", 241, 250)]
+    n = X.frame(spark, [("r1", "f", "f", "Function", "a.txt", 249, 400), ("r1", "g", "g", "Function", "a.txt", 300, 310), ("r1", "h", "h", "Class", "a.txt", 1, 2)], "repo_id string, id string, name string, kind string, path string, start_line int, end_line int").withColumn("complexity", F.lit(1))
+    assert [tuple(r) for r in quality.bodies(n, files).select("id", "body").collect()] == [("f", "x\nx")]
