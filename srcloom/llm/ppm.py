@@ -131,7 +131,7 @@ class Automaton:
     """Code lengths (log10) and next states by (state, byte class); state 0 is the empty context."""
 
     def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]]):
-        used = nodes[1][0]
+        used = np.union1d(nodes[1][0], [_START])  # contexts begin with start bytes whether or not texts have them
         self.symbol = np.full(256, len(used), np.int32)
         self.symbol[used] = np.arange(len(used))
         width = len(used) + 1  # the last class: bytes that never occur in the trie
