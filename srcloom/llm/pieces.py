@@ -73,6 +73,7 @@ class SentencePieceModel:
             elif field == 3:
                 norm = dict(_fields(value))
         self.kind = trainer.get(3, UNIGRAM)
+        self.surface = trainer.get(44, " \u2047 ".encode()).decode()
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.byte_fallback = any(p[2] == BYTE for p in self.pieces)
         self.whitespace_as_suffix = bool(trainer.get(24, 0))
@@ -116,12 +117,12 @@ class SentencePieceModel:
             t.normalizer = normalizers.Sequence(steps)
         if not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER)):
             t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-        t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []))
+        t.decoder = decoders.Sequence([decoders.Replace(self.pieces[self.unknown][0], self.surface), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []))
         return t
 
     def parts(self) -> list[bytes]:
         """The bytes that each id stands for in a decoded text."""
-        return [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
+        return [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else self.surface.encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
 
 
 @lru_cache(maxsize=4)
