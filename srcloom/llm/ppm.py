@@ -7,8 +7,8 @@ Escapes follow method C plus the mass of what was pruned; after an escape the sy
 As the trie is closed under suffixes, the code length of a byte depends only on the longest context in the trie, so workers
 unfold it into an automaton and follow all chunks of all texts of a batch in step.
 
-Base counts are exact: the KEEP_WORDS most frequent words travel as a broadcast of that fixed size, and all others are
-joined by the word itself (none of which can hold more than 1/KEEP_WORDS of the tokens, so no key is hot).
+Base counts are exact: words with at least 1/KEEP_WORDS of all tokens, which can't be more than KEEP_WORDS, travel as a
+broadcast, and all others are joined by the word itself (none of which holds a larger share, so no key is hot).
 
 Edge cases: a null or empty text is its end token; without training rows every token is unknown (c = N = V = 0) and bytes
 are equally likely; repeated rows are scored and counted once each; a null doc_id is in training.
@@ -30,7 +30,7 @@ ORDER = 5
 #: A gram is a context with 1/KEEP of all training bytes, and a symbol of its context with 1/KEEP_SYMBOLS of them.
 KEEP = 1 << 16
 KEEP_SYMBOLS = 1 << 20
-KEEP_WORDS = 1 << 18
+KEEP_WORDS = 1 << 20
 FOLDS = 10
 #: Bytes of a text that are scored in one lane.
 LANE = 1024
@@ -232,9 +232,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     train = src.filter(~F.col("held_out"))
     words = materialise(train.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     big_n, big_v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = words.orderBy(F.desc("n"), "word").limit(keep_words)
-    top = frequent.toArrow()  # at most `keep_words` rows
-    least = min(top.column(1).to_pylist(), default=0)
+    often = F.col("n") * keep_words >= F.lit(big_n)
+    top = words.filter(often).toArrow()  # at most `keep_words` rows, for each has 1/keep_words of all tokens
     nodes = trie(train, keep, KEEP_SYMBOLS)
     shared = spark.sparkContext.broadcast((top, nodes))  # as arrays: workers build what they look up
     name = uuid.uuid4().hex
@@ -276,7 +275,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     schema = "id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, rare array<struct<word:binary,tf:long>>"
     rows = materialise(src.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
-    tail = words.filter(F.col("n") <= least) if least else words
+    tail = words.filter(~often)
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.join(tail, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"), F.sum(F.col("tf") * (F.log10(c + 0.1) - F.lit(float(whole)))).alias("rare_base")

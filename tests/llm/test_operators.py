@@ -337,7 +337,7 @@ def test_ppm_against_brute_force(spark, prose):
             train[b"\n"] += 1
     n, v = sum(train.values()), len(train)
     nodes = ppm.trie(df.select("text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("c")).filter("c % 10 <> 0"))
-    for keep_words in (1 << 18, 5):
+    for keep_words in (1 << 20, 40):
         got = {r["doc_id"]: r for r in ppm.scores(df, keep_words=keep_words).collect()}
         for i, t in enumerate(low):
             w = [*t.split(), b"\n"]
