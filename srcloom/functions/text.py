@@ -51,9 +51,11 @@ def complexity(body: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Search terms of a text: words, their snake_case and camelCase parts, lower case, without stop words; distinct, in order."""
     raw = F.filter(F.split(text, "[^A-Za-z0-9_]+", -1), lambda t: t != "")
-    parts = F.flatten(F.transform(raw, lambda t: F.concat(F.array(t), F.filter(F.split(t, "_+", -1), lambda p: F.length(p) >= 2), F.split(t, "(?<=[a-z0-9])(?=[A-Z])", -1))))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.array_distinct(F.filter(F.transform(parts, F.lower), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)))
+    joined = lambda t: t.rlike("_|[a-z0-9][A-Z]")
+    split = lambda t: F.concat(F.array(t), F.filter(F.split(t, "_+", -1), lambda p: F.length(p) >= 2), F.split(t, "(?<=[a-z0-9])(?=[A-Z])", -1))
+    parts = F.flatten(F.transform(raw, lambda t: F.when(joined(t), split(t)).otherwise(F.array(t))))
+    low = F.filter(F.transform(parts, lambda t: F.lower(t)), lambda t: F.length(t) >= 2)
+    return F.array_except(low, F.array(*map(F.lit, STOP_WORDS)))  # distinct, in order, through a hash set
 
 
 def stem(token: Column) -> Column:
