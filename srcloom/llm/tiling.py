@@ -13,6 +13,8 @@ is never found.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -143,6 +145,10 @@ class Items:
         return out
 
 
+#: The block a worker has built last; it serves all of its tasks.
+_built: dict[str, Items] = {}
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
     """The benchmark's rows in blocks whose texts have at most `size` bytes together (or one row)."""
     block, held = [], 0
@@ -165,13 +171,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = "id long, item long, coverage double, item_words long, tiles string"
 
     def search(shared):
-        built: list[Items] = []
+        name = uuid.uuid4().hex
 
         def run(batches):
-            if not built:
-                built.append(Items(shared.value))
+            if name not in _built:
+                _built.clear()
+                _built[name] = Items(shared.value)
             for b in batches:
-                rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in built[0].hits(t, coverage)]
+                rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in _built[name].hits(t, coverage)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()), (4, pa.int64()), (3, pa.string()))],
                     ["id", "item", "coverage", "item_words", "tiles"],
