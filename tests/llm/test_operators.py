@@ -350,6 +350,20 @@ def test_ppm_against_brute_force(spark, prose):
     assert ppm.scores(empty(df)).count() == 0
 
 
+def test_ppm_keeps_rare_grams(spark, prose):
+    """More than 2^16 training bytes: contexts that occur once count like all others, by broadcast and by join."""
+    texts = [prose(600, 500 + i) for i in range(60)] + [prose(20, i) for i in range(20)] + ["zzz qqq", None]
+    df = docs(spark, texts)
+    low = [(t or "").encode() for t in texts]
+    g, n = ppm._grams([t for i, t in enumerate(low) if zlib.crc32(str(i).encode()) % 10])
+    assert n.sum() > 1 << 17
+    nodes = {0: (np.zeros(1, np.int64), np.array([n.sum()]))} | {k: ppm._shorter(g, n, k) for k in range(1, ppm.ORDER + 2)}
+    for keep in (1 << 20, 1 << 12, 1):
+        got = {r["doc_id"]: r["score"] for r in ppm.scores(df, keep=keep).collect()}
+        for i in range(60, len(texts)):
+            assert abs(got[i] - brute_ppm(nodes, low[i])) < 1e-6
+
+
 def test_ppm_is_a_distribution():
     g, n = ppm._grams([b"abracadabra", b"abra cad"])
     nodes = {0: (np.zeros(1, np.int64), np.array([n.sum()]))}
