@@ -401,6 +401,14 @@ def test_repeated_passages(spark, prose):
     assert passages.repeated(empty(docs(spark, ["a"]))).count() == 0
 
 
+def test_edited_tail_of_an_equal_run(spark, prose):
+    one = prose(120, 905).split()
+    edited = list(one)
+    edited[90] = "changed"
+    got = {r["doc_id"]: r["passages"] for r in passages.repeated(docs(spark, [" ".join([prose(60, 21), *one, prose(60, 22)]), " ".join([prose(30, 23), *edited])])).collect()}
+    assert got == {0: "60:180", 1: "30:150"}
+
+
 def test_many_copies_stay_linear(spark, prose):
     one = prose(120, 77)
     texts = [f"{prose(20, i)} {one}" for i in range(80)]
