@@ -48,17 +48,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp): the fingerprint of every row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(id_col, fp): the fingerprint of every row as a signed long; with hashed also text_hash, which tells texts of one id apart."""
     batched(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.xxhash64(text).alias("text_hash")] * hashed)
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((fingerprint(x) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["id", "fp", *["text_hash"] * hashed])
 
-    return src.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, "id long, fp long" + ", text_hash long" * hashed).withColumnRenamed("id", id_col)
 
 
 class BKTree:
@@ -220,7 +221,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate component; rows repeated under that id stay once."""
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """One row of docs for each near-duplicate component: one with the smallest id, or with a null id if it has no other."""
+    prints = materialise(fingerprints(docs, id_col, text_col, hashed=True), "simhash")
+    lead = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("lead")
+    classes = materialise(prints.groupBy("fp").agg(lead), "classes")
+    roots = materialise(connected(links(classes.select("fp"), shard)), "roots")
+    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = materialise(named.groupBy("root").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("_kept"), F.col("lead.text_hash").alias("_kept_hash")), "kept")
+    rows = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+    found = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept"]) & (rows["_hash"] == kept["_kept_hash"]), "left_semi")
+    return found.dropDuplicates([id_col, "_hash"]).drop("_hash")

@@ -156,6 +156,13 @@ def test_bk_tree_links_with_dense_shards(spark, shard):
     assert set(zip(q.tolist(), p.tolist())) == set(zip(a.tolist(), b.tolist()))
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, prose):
+    a, b, c, d = (prose(80, 700 + i) for i in range(4))
+    rows = [(None, a), (None, b), (None, a), (1, c), (1, d), (2, c), (1, c), (None, d)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, a), (0, b), (1, c), (1, d)])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in common.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
