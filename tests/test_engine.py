@@ -270,3 +270,15 @@ def test_window_chunks_and_bodies(spark):
     assert [tuple(r) for r in got] == [("file:r1:a.txt:1", 1, 120), ("file:r1:a.txt:121", 121, 240), ("file:r1:a.txt:241", 241, 250)]
     n = X.frame(spark, [("r1", "f", "f", "Function", "a.txt", 249, 400), ("r1", "g", "g", "Function", "a.txt", 300, 310), ("r1", "h", "h", "Class", "a.txt", 1, 2)], "repo_id string, id string, name string, kind string, path string, start_line int, end_line int").withColumn("complexity", F.lit(1))
     assert [tuple(r) for r in quality.bodies(n, files).select("id", "body").collect()] == [("f", "x\nx")]
+
+
+def test_duplicates_across_files_with_the_same_variants(spark):
+    from srcloom.operators import quality
+
+    f = " ".join(f"token{i:03d}" for i in range(40))
+    g = f + " extra"
+    rows = [("A.f", "A", f), ("A.g", "A", g), ("B.f", "B", f), ("B.g", "B", g)]
+    got = {(r["a"], r["b"]) for r in quality.duplicates(spark.createDataFrame(rows, "id string, path string, body string")).collect()}
+    assert got == {("A.f", "B.f"), ("A.g", "B.g"), ("A.f", "B.g"), ("A.g", "B.f")}
+    one_file = [(i, "A", b) for i, _, b in rows]
+    assert quality.duplicates(spark.createDataFrame(one_file, "id string, path string, body string")).count() == 0
