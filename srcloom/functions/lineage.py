@@ -9,24 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where it is unset (tests, local mode)."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine in local mode, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="srcloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/srcloom/{name}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs, target = _folder(spark, path)
+    fs.deleteOnExit(target)
     return path
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes df to the shared folder and reads it back."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing of it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes materialised tables that no later step reads."""
+    for table in tables:
+        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()} if table is not None else ():
+            fs, target = _folder(table.sparkSession, path)
+            fs.delete(target, True)
