@@ -1,57 +1,29 @@
-"""What the corpus operators share: the shared folder, materialised tables, skew-safe joins, connected components."""
+"""What the corpus operators share: bounded Arrow batches, fold buckets, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with at least 1/HOT_SHARE of all rows counts as hot; at most HOT_SHARE keys can, which bounds what is broadcast.
-HOT_SHARE = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where it is unset (tests, local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="srcloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/srcloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..functions.lineage import drop, materialise, new_path, shared_dir  # noqa: F401
+from ..functions.skew import HOT_SHARE, join_by_share  # noqa: F401
 
-def batched(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Most rows, and bytes (beyond one row), of an Arrow batch that reaches a Python worker.
+BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 
 
-def join_by_share(left: DataFrame, sizes: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of left with sizes (one row per key, `count` = the rows of left with it): hot keys by broadcast, others by shuffle.
+def batched(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of Arrow batches, so that long texts don't fill a Python worker.
 
-    At most HOT_SHARE keys can hold 1/HOT_SHARE of the rows each, so the broadcast side has a fixed bound at any scale.
+    The settings are the session's (Spark reads them when a lazy plan runs), the same for all operators, and only ever lowered.
     """
-    hot = sizes.filter(F.col(count) * HOT_SHARE >= F.lit(total))
-    cold = sizes.filter(F.col(count) * HOT_SHARE < F.lit(total))
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def crc_bucket(doc_id, mod: int):
@@ -62,25 +34,27 @@ def crc_bucket(doc_id, mod: int):
 def connected(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v), root being the smallest node reachable.
 
-    Alternates large-star and small-star steps; each step is an aggregation of minima and one equi-join, and its result is
-    written to the shared folder, so neither links nor components ever pass through the driver.
+    Alternates large-star and small-star steps; each is an aggregation of minima, added up before its shuffle, and one
+    equi-join in which a hub with many edges meets its minimum by broadcast. Steps are written to the shared folder, and
+    removed when the next is there, so neither links nor components ever pass through the driver.
     """
-    spark = edges.sparkSession
     edges = materialise(edges.filter("u <> v").select("u", "v").distinct(), name)
-    seen = None
+    seen, size = None, edges.count()
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_share(both, least, "u", "n", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_by_share(large, least, "u", "n", size)
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        small = materialise(small, name)
+        drop(edges, large)
+        edges = small
+        size, now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (size, now) == seen:
             break
-        seen = now
+        seen = size, now
     else:
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
