@@ -1,55 +1,155 @@
 """Labelled pages from which the weights of the content scorer are learned.
 
-A page is a list of (label, fragment): 1 marks fragments of the article, 0 everything else. Fragments may open elements that
-later ones close. `~n` stands for n filler words.
+Pages are composed at random: a layout, parts of the page around and inside the article (menus, headers, footers, sidebars,
+notices, adverts, forms, comments), each with its own tags, names and kind of content, and the article itself. Parts go without
+a name, or with a name that says nothing, in a share of cases, and articles also have names in which a word usual for other
+parts stands among others, so that structure, link share and length are learned beside names.
 """
 
 from __future__ import annotations
 
 import random
-import re
-
-TEMPLATES: list[list[tuple[int, str]]] = [
-    [(0, "<html><head><title>~6</title></head><body><nav><ul><li><a href='/'>~1</a></li><li><a>~2</a></li></ul></nav><div class='ad'>~8</div>"), (1, "<article><h1>~8</h1><p>~60</p><p>~40</p></article>"), (0, "<footer>~9</footer></body></html>")],
-    [(0, "<body><header class='site-header'><a class='logo'>~2</a><ul class='menu'><li><a>~1</a></li><li><a>~1</a></li></ul></header><main>"), (1, "<h1>~7</h1><p>~50</p><ul><li>~9</li><li>~11</li></ul><p>~30</p>"), (0, "<aside class='sidebar'><h3>~2</h3><ul><li><a>~4</a></li><li><a>~5</a></li></ul></aside></main><footer class='footer'><p>~20</p></footer>")],
-    [(0, "<body><div id='header'>~4</div><div id='nav' class='navbar'><a>~1</a> <a>~1</a></div><div id='cookie-notice' class='notice banner'>~25 <button>~1</button></div><div id='content' class='post entry-content'>"), (1, "<h2>~6</h2><p>~45</p><blockquote>~20</blockquote><p>~35</p>"), (0, "<div class='advert sponsored'>~12</div>"), (1, "<p>~33</p>"), (0, "</div><div id='comments' class='comments'><h3>~2</h3><div class='comment'><p>~25</p></div><div class='comment'><p>~30</p></div></div><div id='footer'>~12</div>")],
-    [(0, "<body><div class='topbar'>~5</div><div class='container'><div class='breadcrumb breadcrumbs'><a>~1</a> <a>~1</a></div><div class='article-body'>"), (1, "<h1>~5</h1><p>~70</p><table><tr><td>~4</td><td>~3</td></tr></table><pre>~20</pre>"), (0, "<form action='/subscribe' class='newsletter signup'><label>~3</label><input><button>~1</button></form>"), (1, "<p>~40</p>"), (0, "</div><div class='related'><h4>~2</h4><ul><li><a>~6</a></li></ul></div><div class='share social'><a>~1</a><a>~1</a></div></div>")],
-    [(0, "<body><div role='navigation'><a>~2</a><a>~2</a></div><div role='main'>"), (1, "<h1>~6</h1><div><p>~80</p></div><figure><figcaption>~9</figcaption></figure><p>~20</p>"), (0, "</div><div role='complementary'>~30</div><div role='contentinfo'>~10</div>")],
-    [(0, "<body><section class='hero banner'><a>~3</a></section>"), (1, "<article class='story'><header><h1>~7</h1></header><section><p>~30</p><p>~44</p></section></article>"), (0, "<section class='comments' id='discussion'><h2>~2</h2><ol><li><p>~20</p></li><li><p>~26</p></li></ol><form><textarea>~2</textarea></form></section><div class='popup modal'>~14</div><footer><nav><a>~2</a></nav>~6</footer>")],
-    [(0, "<body><table class='layout'><tr><td class='left menu'><a>~2</a><br><a>~2</a><br><a>~2</a></td><td class='main text'>"), (1, "<p>~55</p><p>~35</p><h3>~4</h3><p>~42</p>"), (0, "</td><td class='right ads promo'>~18</td></tr></table><div class='copyright legal'>~8</div>")],
-    [(0, "<body><div class='alert warning notice' role='alert'>~16</div><div class='page'>"), (1, "<p>~65</p><p>~25</p><p>~31</p>"), (0, "<div class='pagination pager'><a>~1</a><a>~1</a></div></div><div class='widget tags'><a>~1</a> <a>~1</a></div><div class='login'><form>~6</form></div>")],
-    [(0, "<body><main><div class='gdpr consent'>~22</div><article itemprop='articleBody'>"), (1, "<h1>~9</h1><p>~52</p><div class='text'><p>~37</p></div>"), (0, "<aside class='ad-slot'>~15</aside>"), (1, "<p>~28</p>"), (0, "<ul class='share'><li><a>~1</a></li></ul><div class='author bio'>~12</div><section class='reader-comments replies'><article class='comment'><p>~24</p></article></section></article></main><footer>~11</footer>")],
-    [(0, "<body><nav>~9</nav><header>~9</header>"), (1, "<div><p>~40</p></div>"), (0, "<aside>~30</aside><form>~14</form><div class='comments'>~40</div><footer>~9</footer>")],
-    [(0, "<body><div class='notice'>~15</div><div class='cookie'>~20</div><div class='menu'>~6</div><div class='sidebar'>~25</div>"), (1, "<div>~40</div><p>~20</p>"), (0, "<div class='advertisement'>~12</div><div class='banner'>~9</div><div class='promo'>~10</div><div class='footer'>~9</div><div class='header'>~6</div><div class='nav'>~6</div>")],
-    [(0, "<body><div id='sidebar'><p>~25</p></div><div id='notice'><p>~12</p></div><article>"), (1, "<p>~30</p><div>~10</div>"), (0, "<nav><p>~8</p></nav><aside><p>~9</p></aside><div class='ad'><p>~20</p></div><form><p>~9</p></form><section class='comments'><p>~40</p><p>~30</p></section><footer><p>~8</p></footer></article><div id='ad'><p>~12</p></div><div id='footer'><p>~9</p></div>")],
-    [(1, "~80")],
-    [(0, "<body><div class='x1'><div class='q'>"), (1, "~60<br><br>~40"), (0, "</div></div><div class='menu'><a>~2</a> <a>~2</a></div>")],
-    [(0, "<body>"), (1, "<p>~30</p><p>~20 <a>~2</a> ~5</p><div>~40</div><h2>~4</h2><ul><li>~9 <a>~2</a></li><li>~8</li></ul>"), (0, "<p class='footer copyright'>~6</p></body>")],
-    [(0, "<body><div class='wrap'><div class='nav'><a>~2</a></div><div class='col'>"), (1, "<h1><a>~5</a></h1><div>~50</div><div><span>~20</span></div><section><h2>~3</h2><p>~20</p></section>"), (0, "</div><div class='side'><div>~10</div><ul><li><a>~3</a></li></ul></div></div>")],
-    [(0, "<body><nav class='toc'><a>~2</a></nav><div class='wrapper'>"), (1, "<div class='content body'><h1>~4</h1><dl><dt>~2</dt><dd>~20</dd></dl><p>~48 <a>~2</a> ~11 <b>~2</b> ~9 <i>~1</i></p></div>"), (0, "<div class='sidebar rail'><div class='widget'><p>~22</p></div></div></div><div class='footer-links'><ul><li><a>~2</a></li></ul></div>")],
-]
-
-#: Class names of boilerplate, each of which stands on its own in one more page.
-BOILERPLATE = (
-    "ad ads advert advertisement alert banner breadcrumb comment comments consent cookie copyright disclaimer discussion dropdown footer gdpr header legal login "
-    "menu modal nav navbar navigation newsletter notice notification overlay pagination pager popup promo promotion recommended related replies search share "
-    "sidebar signup social sponsor sponsored subscribe tags teaser toolbar topbar tracking widget"
-).split()
-TEMPLATES += [[(0, f"<body><div class='{name}'><p>~14</p></div><div>"), (1, "<p>~30</p><div>~10</div>"), (0, f"<div id='{name}'>~9</div>"), (1, "<p>~12</p>"), (0, f"</div><div class='{name}'>~9</div></body>")] for name in BOILERPLATE]
-
-
-def pages(copies: int = 2, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
-    """(html, [(start, end) of the article's parts]) for each template, filled anew `copies` times."""
+
+#: Parts of pages: the elements they come in, the words their names are made of, and what they hold (l: links, s: short text, p: paragraphs, f: fields).
+PARTS = {
+    "menu": ("nav div ul header", "nav menu navbar navigation breadcrumb breadcrumbs toc pagination pager toolbar topbar", "l"),
+    "header": ("header div", "header masthead logo branding banner top", "sl"),
+    "footer": ("footer div", "footer copyright legal bottom", "slp"),
+    "sidebar": ("aside div td section", "sidebar side aside rail widget related recommended tags teaser", "lsp"),
+    "notice": ("div section aside", "notice cookie consent gdpr alert warning notification disclaimer", "sp"),
+    "advert": ("div aside section", "ad ads advert advertisement sponsor sponsored promo promotion", "sp"),
+    "form": ("form form div", "form search subscribe newsletter signup login", "f"),
+    "comments": ("section div ol", "comments comment discussion replies responses", "p"),
+    "share": ("div ul", "share social follow", "l"),
+    "popup": ("div", "modal popup overlay dialog", "sp"),
+}
+ARTICLE = ("article main div section td", "content article post entry story body text main page")
+NEUTRAL = "wrap wrapper container row col inner box block left center".split()
+ROLES = {"menu": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search", "notice": "alert"}
+
+
+SYLLABLES = [c + v for c in "bcdfglmnprst" for v in "aeiou"]
+
+
+class _Page:
+    """html with the places of the article's parts."""
+
+    def __init__(self, rng: random.Random):
+        self.rng, self.html, self.spans = rng, "", []
+
+    def word(self) -> str:
+        """An invented word of one to four syllables."""
+        n = int(1 + 4 * self.rng.random())
+        return "".join(SYLLABLES[int(len(SYLLABLES) * self.rng.random())] for _ in range(n))
+
+    def words(self, low: int, high: int, links: float = 0.0) -> str:
+        n = self.rng.randint(low, high)
+        out = [self.word() for _ in range(n)]
+        if links:
+            out = [f"<a href='/'>{w}</a>" if self.rng.random() < links else w for w in out]
+        if n > 5 and self.rng.random() < 0.8:
+            out[-1] += "."
+        return " ".join(out)
+
+    def name(self, usual: list[str], telling: bool = False) -> str:
+        """A class or id, or nothing; `telling` where nothing else tells what it is."""
+        r = self.rng
+        kind = 1.0 if telling else r.random()
+        if kind < 0.15:
+            return ""
+        if kind < 0.3:
+            text = r.choice([self.word(), r.choice(NEUTRAL), f"{self.word()}-{r.choice(NEUTRAL)}"])
+        else:
+            w = r.choice(usual)
+            text = r.choice([w, w, w, w, f"{r.choice(NEUTRAL)}-{w}", f"{w}-{r.choice(NEUTRAL)}", f"{self.word()}_{w}", f"{w}{r.choice(NEUTRAL).title()}", f"{w} {r.choice(usual)}"])
+        return f" {r.choice(['class', 'class', 'class', 'id'])}='{text}'"
+
+    def part(self, kind: str) -> None:
+        r = self.rng
+        tags, names, holds = PARTS[kind]
+        tag = r.choice(tags.split())
+        named = self.name(names.split(), tag in ("div", "section", "td", "ul", "ol"))
+        if kind in ROLES and r.random() < 0.1:
+            named += f" role='{ROLES[kind]}'"
+        inner = ""
+        for _ in range(r.randint(1, 3)):
+            what = r.choice(holds)
+            if what == "l":
+                links = [f"<a href='/'>{self.words(1, 4)}</a>" for _ in range(r.randint(1, 6))]
+                inner += r.choice([" ".join(links), "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"])
+            elif what == "s":
+                inner += r.choice(["{}", "<p>{}</p>", "<span>{}</span>", "<h3>{}</h3>", "<div>{}</div>"]).format(self.words(2, 12))
+            elif what == "f":
+                button = f"<button>{self.words(1, 2)}</button>"
+                inner += r.choice([f"<label>{self.words(1, 3)}</label><input>{button}", f"{self.words(1, 6)} <input>", f"<p>{self.words(3, 20)}</p><input>{button}", f"<div>{self.words(1, 4)}</div><textarea></textarea>"])
+            else:
+                text = f"<p>{self.words(10, 60)}</p>"
+                inner += f"<div class='comment'>{text}</div>" if kind == "comments" and r.random() < 0.4 else f"<article>{text}</article>" if kind == "comments" and r.random() < 0.15 else text
+        wrap = f"<li>{inner}</li>" if tag in ("ul", "ol") else inner
+        self.html += f"<table><tr><td{named}>{wrap}</td></tr></table>" if tag == "td" else f"<{tag}{named}>{wrap}</{tag}>"
+
+    def article_text(self, text: str) -> None:
+        start = len(self.html)
+        self.html += text
+        self.spans.append((start, len(self.html)))
+
+    def block(self) -> str:
+        r = self.rng
+        p = lambda: self.words(4, 70, 0.03)
+        return r.choice([
+            lambda: f"<p>{p()}</p>", lambda: f"<p>{p()}</p>", lambda: f"<p>{p()} <b>{self.words(1, 3)}</b> {p()}</p>", lambda: f"<p>{self.words(1, 3)}</p>", lambda: f"<p>{self.words(1, 6)}</p>", lambda: f"<p>{self.words(1, 2)}<br>{p()}<br>{self.words(1, 3)}</p>", lambda: f"<div>{self.words(1, 3)}</div>", lambda: f"<h2>{self.words(1, 8)}</h2>", lambda: f"<div>{p()}</div>",
+            lambda: "<ul>" + "".join(f"<li>{self.words(2, 14, 0.1)}</li>" for _ in range(r.randint(1, 5))) + "</ul>", lambda: f"<blockquote>{p()}</blockquote>", lambda: f"{p()}<br><br>{p()}", lambda: f"<pre>{p()}</pre>",
+            lambda: f"<table><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 6)}</td></tr></table>", lambda: f"<figure><figcaption>{self.words(3, 12)}</figcaption></figure>", lambda: f"<section><h3>{self.words(1, 6)}</h3><p>{p()}</p></section>",
+            lambda: "<div>" * (k := r.randint(1, 8)) + p() + "</div>" * k,
+        ])()
+
+    def article(self) -> None:
+        r = self.rng
+        tags, names = ARTICLE
+        tag = r.choice(tags.split())
+        usual = names.split()
+        named = self.name(usual)
+        if r.random() < 0.25:  # words of other parts among others
+            other = r.choice(r.choice(list(PARTS.values()))[1].split())
+            named = f" class='{other}-{self.word()}-{self.word()}'" if r.random() < 0.7 else f" class='{self.word()}-{other}-{self.word()}'"
+        self.html += "<table><tr>" * (tag == "td") + f"<{tag}{named}>"
+        if r.random() < 0.7:
+            self.article_text(f"<h1>{self.words(2, 9)}</h1>")
+        for _ in range(r.randint(1, 7)):
+            self.article_text(self.block())
+            if r.random() < 0.15:
+                self.part(r.choice(["advert", "advert", "share", "form", "notice", "menu", "sidebar"]))
+        self.article_text(r.choice(["", f"<p>{self.words(3, 40)}</p>"]))
+        if r.random() < 0.15:
+            self.part(r.choice(["comments", "share", "sidebar", "footer"]))
+        self.html += f"</{tag}>" + "</tr></table>" * (tag == "td")
+
+
+def page(rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """(html, [(start, end) of the article's parts])."""
+    p = _Page(rng)
+    if rng.random() < 0.06:  # a bare text
+        p.article_text(" ".join(p.block() for _ in range(rng.randint(1, 3))))
+        return p.html, p.spans
+    p.html = "<html><head><title>t</title></head><body>"
+    depth = rng.randint(0, 2)
+    for kind in rng.sample(["menu", "header", "notice", "advert", "form", "popup", "sidebar"], rng.randint(0, 4)):
+        p.part(kind)
+    opened = [rng.choice(["div", "main", "section"]) for _ in range(depth)]
+    for tag in opened:
+        p.html += f"<{tag}{p.name(NEUTRAL)}>"
+    if rng.random() < 0.2:
+        p.part(rng.choice(["menu", "sidebar", "notice"]))
+    p.article()
+    for kind in rng.sample(["comments", "sidebar", "share", "form"], rng.randint(0, 2)):
+        p.part(kind)
+    p.html += "".join(f"</{tag}>" for tag in reversed(opened))
+    for kind in rng.sample(["comments", "footer", "advert", "sidebar", "menu"], rng.randint(0, 3)):
+        p.part(kind)
+    p.html += "</body></html>"
+    return p.html, p.spans
+
+
+def pages(n: int = 1000, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
-    out = []
-    for _ in range(copies):
-        for template in TEMPLATES:
-            html, spans = "", []
-            for label, fragment in template:
-                filled = re.sub(r"~(\d+)", lambda m: " ".join(word() for _ in range(max(1, round(int(m[1]) * rng.uniform(0.5, 1.5))))), fragment)
-                if label:
-                    spans.append((len(html), len(html) + len(filled)))
-                html += filled
-            out.append((html, spans))
-    return out
+    return [page(rng) for _ in range(n)]
