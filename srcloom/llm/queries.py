@@ -44,7 +44,8 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write(pages), warc.keys_of(pages)).drop("key")
 
 
 def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
