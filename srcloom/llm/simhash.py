@@ -1,10 +1,14 @@
 """SimHash near-duplicates over whole documents, with BK-trees over the distinct fingerprints.
 
-Fingerprints are linked when they differ in at most `radius` = 2 bits. Two such fingerprints agree in at least one of
-three bit bands, so each band value is a shard: a BK-tree is built over the shard's distinct fingerprints and searched for
-each of them, following only edges within the radius. Shards above SHARD fingerprints are split by a second banding of the
-remaining bits (two fingerprints that agree in one band and differ in two bits agree in one of three sub-bands too), and
-what is still too large is dealt out as tiles of two blocks, so no task ever gathers an unbounded group and no link is lost.
+Fingerprints are linked when they differ in at most `radius` = 2 bits. Two such fingerprints agree in at least one of three bit
+bands, so fingerprints are dealt to shards by each band's leading bits, as many as leave about TREE of them in a shard. In each
+shard a BK-tree is built and searched for all of the shard's fingerprints, following only edges within the radius. Trees are
+built where their shard is rather than broadcast: every fingerprint would have to visit every broadcast tree, which grows with
+the square of the corpus, while by bands it visits three.
+
+Shards above SHARD fingerprints are split by a second banding of the bits outside the band (two fingerprints that agree in one
+band and differ in two bits agree in one of three parts of the rest too), and what is still too large is dealt out as tiles of
+two blocks, so no task ever gathers an unbounded group and no link is lost.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero and are linked like any other; one or two
 words form one shingle; repeated rows get the same component; an empty table gives an empty result; a null doc_id keeps its
@@ -19,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, connected, join_by_share, materialise
+from .common import batched, connected, join_by_share, materialise, union_find
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-#: Most distinct fingerprints in one shard tree.
+#: Distinct fingerprints of a shard's tree: about so many, and at most.
+TREE = 512
 SHARD = 4096
 BANDS = ((0, 22), (22, 21), (43, 21))
 
@@ -63,66 +68,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class BKTree:
-    """A BK-tree over distinct uint64 values: a node's children are keyed by their integer Hamming distance to it."""
+    """A BK-tree over distinct uint64 values: a node is one value, its children are keyed by their integer Hamming distance to it.
 
-    LEAF = 24
+    A node is (index of its value, edges to childless nodes, their indices, [(edge, node with children)]).
+    """
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.root = self._build(np.arange(len(values)))
+        #: Pairs of query and edge that searches followed, and those they left out.
+        self.followed = self.skipped = 0
+        self.root = self._build(np.arange(len(values))) if len(values) else None
 
     def _build(self, idx: np.ndarray):
-        """A node: (its point, {distance: child}), or an array of up to LEAF points."""
-        top: list = [None]
+        top: list = []
         work = [(idx, top, 0)]
         while work:
-            idx, holder, key = work.pop()
-            if len(idx) <= self.LEAF:
-                holder[key] = idx
-                continue
+            idx, holder, edge = work.pop()
             pivot, rest = int(idx[0]), idx[1:]
             d = np.bitwise_count(self.values[rest] ^ self.values[pivot])
-            node = (pivot, {})
-            holder[key] = node
             order = np.argsort(d, kind="stable")
-            cuts = np.flatnonzero(np.diff(d[order])) + 1
-            for part in np.split(rest[order], cuts):
-                work.append((part, node[1], int(np.bitwise_count(self.values[part[0]] ^ self.values[pivot]))))
-        return top[0]
+            rest, d = rest[order], d[order].astype(np.int16)
+            cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]])) if len(d) else np.zeros(1, np.int64)
+            sizes = np.diff(cuts)
+            alone = cuts[:-1][sizes == 1]
+            node: tuple = (pivot, d[alone], rest[alone], [])
+            holder.append((edge, node))
+            work += [(rest[a : a + n], node[3], int(d[a])) for a, n in zip(cuts[:-1].tolist(), sizes.tolist()) if n > 1]
+        return top[0][1]
 
     def pairs(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices (query, point) of all pairs within the radius; all queries descend together."""
-        found_q, found_p = [], []
-        work = [(self.root, np.arange(len(queries)))]
+        """Indices (query, value) of all pairs within the radius; all queries descend together."""
+        found_q, found_p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        work = [(self.root, np.arange(len(queries)))] if self.root else []
         while work:
-            node, q = work.pop()
-            if isinstance(node, np.ndarray):
-                for p in node.tolist():
-                    hit = q[np.bitwise_count(queries[q] ^ self.values[p]) <= radius]
-                    found_q.append(hit)
-                    found_p.append(np.full(len(hit), p))
-                continue
-            pivot, children = node
+            (pivot, edges, leaves, children), q = work.pop()
             d = np.bitwise_count(queries[q] ^ self.values[pivot]).astype(np.int16)
             hit = q[d <= radius]
-            found_q.append(hit)
-            found_p.append(np.full(len(hit), pivot))
-            for edge, child in children.items():
+            if len(hit):
+                found_q.append(hit)
+                found_p.append(np.full(len(hit), pivot))
+            if len(leaves):
+                row, leaf = np.nonzero(np.abs(d[:, None] - edges) <= radius)
+                self._count(len(row), len(d) * len(leaves))
+                row, leaf = q[row], leaves[leaf]
+                same = np.bitwise_count(queries[row] ^ self.values[leaf]) <= radius
+                if same.any():
+                    found_q.append(row[same])
+                    found_p.append(leaf[same])
+            for edge, child in children:
                 near = q[np.abs(d - edge) <= radius]
+                self._count(len(near), len(d))
                 if len(near):
                     work.append((child, near))
         return np.concatenate(found_q), np.concatenate(found_p)
 
+    def _count(self, followed: int, of: int) -> None:
+        self.followed += followed
+        self.skipped += of - followed
+
 
 def shard_links(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (value, smallest value of its group) that connect all of a shard's values within the radius."""
-    if len(values) == 2:
-        if int(values[0] ^ values[1]).bit_count() > radius:
-            return values[:0], values[:0]
-        return values[1:], values[:1]
     values = np.unique(values)
-    from .common import union_find
-
     q, p = BKTree(values).pairs(values, radius)
     label = union_find(len(values), q, p)
     moved = np.flatnonzero(label != np.arange(len(values)))
@@ -149,25 +156,28 @@ def _sub_bands(band: int) -> list[list[tuple[int, int]]]:
     return parts
 
 
-def links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+def links(distinct: DataFrame, shard: int = SHARD, tree: int = TREE) -> DataFrame:
     """Links (u, v) among distinct fingerprints (column fp) whose components are those of all pairs within the radius."""
-    spark = distinct.sparkSession
+    count = distinct.count()
+    bits = max(0, (count // tree).bit_length())
     fp = F.col("fp")
-    first = F.array(*[F.struct(F.lit(i).alias("band"), _band(fp, *b).alias("value")) for i, b in enumerate(BANDS)])
-    keyed = distinct.select("fp", F.explode(first).alias("k")).select("fp", "k.band", "k.value")
-    sizes = materialise(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
-    near = keyed.join(sizes.filter(F.col("n") <= shard), ["band", "value"]).select("fp", F.xxhash64("band", "value").alias("key"), "band", "value", F.lit(0).alias("tile"))
-    dense = keyed.join(sizes.filter(F.col("n") > shard), ["band", "value"]).select("fp", "band", "value")
-    parts = F.lit(None)
-    for b in reversed(range(len(BANDS))):
-        subs = F.array(*[F.struct(F.lit(j).alias("sub"), F.concat_ws(",", *[_band(fp, *r).cast("string") for r in p]).alias("bits")) for j, p in enumerate(_sub_bands(b))])
-        parts = F.when(F.col("band") == b, subs).otherwise(parts) if b < len(BANDS) - 1 else F.when(F.col("band") == b, subs)
-    finer = materialise(dense.select("fp", "band", "value", F.explode(parts).alias("s")).select("fp", F.xxhash64("band", "value", "s.sub", "s.bits").alias("key")), "dense")
-    sizes = finer.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(shard)).cast("int"))
-    sized = finer.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int"))
+    bands = [(i, at, min(width, bits)) for i, (at, width) in enumerate(BANDS)][: None if bits else 1]
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), _band(fp, at, width)).alias("key")) for i, at, width in bands])
+    keyed = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.key")
+    total = max(1, count * len(bands))
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    sized = join_by_share(keyed, sizes, "key", "n", total)
+    near = sized.filter(F.col("n") <= shard).select("fp", "key", F.lit(0).alias("tile"))
+    # dense shards, dealt once more by the bits outside their band
+    parts = [F.array(*[F.concat_ws(",", F.lit(j), *[_band(fp, *r).cast("string") for r in p]) for j, p in enumerate(_sub_bands(b))]) for b in range(len(BANDS))]
+    part = F.when(F.col("band") == 0, parts[0]).when(F.col("band") == 1, parts[1]).otherwise(parts[2])
+    finer = sized.filter(F.col("n") > shard).select("fp", "key", F.explode(part).alias("s")).select("fp", F.xxhash64("key", "s").alias("key"))
+    finer = materialise(finer, "dense")
+    blocks = F.ceil(F.col("n") * 2 / F.lit(shard)).cast("int").alias("blocks")
+    sizes = finer.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", "n", blocks)
+    sized = join_by_share(finer, sizes, "key", "n", max(1, finer.count())).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.lit(1 << 15) + F.greatest(j, F.col("block"))))
-    tiled = sized.select("fp", "key", tile.alias("tile"))
-    shards = near.select("fp", "key", "tile").unionByName(tiled)
+    shards = near.unionByName(sized.select("fp", "key", tile.alias("tile")))
     return shards.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_search, "u long, v long").distinct()
 
 
@@ -222,13 +232,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
-    """One row of docs for each near-duplicate component: one with the smallest id, or with a null id if it has no other."""
+    """One row of docs for each near-duplicate component: one with the smallest id, or with a null id if it has no other.
+
+    Rows are told apart by id and text, so of two texts under one id either may stay; of rows equal in both one stays. Texts
+    are shuffled once.
+    """
     prints = materialise(fingerprints(docs, id_col, text_col, hashed=True), "simhash")
     lead = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("lead")
     classes = materialise(prints.groupBy("fp").agg(lead), "classes")
     roots = materialise(connected(links(classes.select("fp"), shard)), "roots")
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = materialise(named.groupBy("root").agg(F.min("lead").alias("lead")).select(F.col("lead.id").alias("_kept"), F.col("lead.text_hash").alias("_kept_hash")), "kept")
-    rows = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    found = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept"]) & (rows["_hash"] == kept["_kept_hash"]), "left_semi")
-    return found.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    kept = named.groupBy("root").agg(F.min("lead").alias("lead")).select(F.coalesce("lead.id", F.lit(0)).alias("_id"), F.col("lead.id").isNull().alias("_none"), F.col("lead.text_hash").alias("_hash"))
+    kept = materialise(kept, "kept")
+    key = ["_id", "_none", "_hash"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_hash"))
+    rows = rows.select("row", F.coalesce("i", F.lit(0)).alias("_id"), F.col("i").isNull().alias("_none"), "_hash").repartition(*key)
+    one = rows.join(kept, key, "left_semi").dropDuplicates(key)
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
