@@ -47,7 +47,7 @@ GUARD = {"email": "contains({t}, '@')", "ip": "{t} RLIKE '[0-9][.][0-9]'", "card
 #: Generators of further candidates: kind, guard, pattern.
 _AT, _DOT = r"(?:\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?|\s(?:at|AT)\s)", r"(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\.)"
 GENERATORS = (
-    ("email", "lower({t}) RLIKE 'at' AND ({t} RLIKE '[(\\\\[{{<] ?(?:at|AT|@) ?[)\\\\]}}>]' OR {t} RLIKE ' (?:dot|DOT) ')", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+" + _AT + r"[A-Za-z0-9-]{1,63}+(?:" + _DOT + r"[A-Za-z0-9-]{2,63}+){1,4}+"),
+    ("email", "lower({t}) RLIKE 'at' AND ({t} RLIKE '[(\\\\[{{<] ?(?:at|AT|@) ?[)\\\\]}}>]' OR {t} RLIKE ' (?:dot|DOT) ')", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + _AT + r"[A-Za-z0-9-]++(?:" + _DOT + r"[A-Za-z0-9-]{2,}+)++"),
     ("phone", "{t} RLIKE '[0-9]{{3}}[^0-9A-Za-z]{{1,2}}[0-9]{{3}}'", r"(?<![0-9A-Za-z+.,/-])(?:00[0-9]{1,3}[ ./-])?\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![0-9A-Za-z]|[-.,/:][0-9])"),
     ("ip", "{t} RLIKE '[0-9A-Fa-f]:[0-9A-Fa-f:]'", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])"),
     ("id", "{t} RLIKE '[0-9]{{2}}'", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])"),
@@ -80,6 +80,8 @@ FEATURES = {
 }
 _FORBID = 0.99
 BEFORE, AFTER = 30, 12
+#: Matches in a chunk of a text's list of matches.
+CHUNK = 256
 
 
 def _quote(s: str) -> str:
@@ -90,11 +92,16 @@ def _spans(text: str, pattern: str, guard: str, valid: str) -> str:
     """SQL for array<struct<s:int,e:int>> of a pattern's valid matches in a text; positions are code points, ends exclusive."""
     p = _quote(pattern)
     step = "named_struct('s', CAST(a.pos + x.gap AS INT), 'e', CAST(a.pos + x.gap + length(x.m) AS INT))"
+    none = "CAST(array() AS ARRAY<STRUCT<s:INT,e:INT>>)"
+    ok = f"x.m IS NOT NULL AND {valid.format(m='x.m')}"
+    # matches are appended to chunks, and full chunks to a list, so that texts with very many stay cheap
     return (
         f"CASE WHEN {guard.format(t=text)} THEN aggregate(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> named_struct('gap', length(g), 'm', m)), "
-        f"named_struct('pos', 0, 'out', CAST(array() AS ARRAY<STRUCT<s:INT,e:INT>>)), "
-        f"(a, x) -> named_struct('pos', CAST(a.pos + x.gap + coalesce(length(x.m), 0) AS INT), 'out', CASE WHEN x.m IS NOT NULL AND {valid.format(m='x.m')} THEN concat(a.out, array({step})) ELSE a.out END), "
-        f"a -> a.out) ELSE CAST(array() AS ARRAY<STRUCT<s:INT,e:INT>>) END"
+        f"named_struct('pos', 0, 'now', {none}, 'full', CAST(array() AS ARRAY<ARRAY<STRUCT<s:INT,e:INT>>>)), "
+        f"(a, x) -> named_struct('pos', CAST(a.pos + x.gap + coalesce(length(x.m), 0) AS INT), "
+        f"'now', CASE WHEN {ok} THEN CASE WHEN size(a.now) >= {CHUNK} THEN array({step}) ELSE concat(a.now, array({step})) END ELSE a.now END, "
+        f"'full', CASE WHEN size(a.now) >= {CHUNK} AND {ok} THEN concat(a.full, array(a.now)) ELSE a.full END), "
+        f"a -> CASE WHEN size(a.full) = 0 THEN a.now ELSE concat(flatten(a.full), a.now) END) ELSE {none} END"
     )
 
 
