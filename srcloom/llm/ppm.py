@@ -30,16 +30,10 @@ ORDER = 5
 #: Context bytes that the grams of a group of code lengths share, and the rows from which a group is closed.
 SHARED = 3
 GROUP_ROWS = 1_000_000
-#: What `trie` keeps, the same model in the memory of one process: contexts with 1/KEEP of all training bytes, and symbols of
-#: them with 1/KEEP_SYMBOLS.
-KEEP = 1 << 16
-KEEP_SYMBOLS = 1 << 20
 #: Grams with 1/KEEP_GRAMS of all training bytes bring their code lengths by broadcast, all others by join.
 KEEP_GRAMS = 1 << 22
 KEEP_WORDS = 1 << 20
 FOLDS = 10
-#: Bytes of a text that are scored in one lane.
-LANE = 1024
 #: Texts whose grams are looked up together.
 SLICE = 200
 _START, _END = 10, 0
@@ -209,130 +203,6 @@ def gram_costs(grams: DataFrame) -> DataFrame:
     return rows.repartition("context").sortWithinPartitions("context").mapInArrow(run, "gram long, n long, cost double")
 
 
-def trie(train: DataFrame, keep: int = KEEP, keep_symbols: int = KEEP_SYMBOLS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length 1 .. ORDER + 1: the packed grams of the trie, and their counts; 0: the total."""
-    grams = train.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = materialise(grams, "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    out = {0: (np.zeros(1, np.int64), np.array([total]))}
-    for k in range(1, ORDER + 2):
-        key = F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("key")
-        kept = grams.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") * keep_symbols >= F.lit(total))
-        rows = kept.toArrow()  # at most `keep_symbols` rows
-        key, n = (rows.column(i).to_numpy() for i in range(2))
-        order = np.argsort(key)
-        out[k] = (key[order], n[order])
-    return pruned(out, keep)
-
-
-def pruned(nodes: dict[int, tuple[np.ndarray, np.ndarray]], keep: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Only the grams whose context has at least 1/keep of all bytes."""
-    total = nodes[0][1][0]
-    out = {0: nodes[0], 1: nodes[1]}
-    for k in range(2, ORDER + 2):
-        contexts = nodes[k - 1][0][nodes[k - 1][1] * keep >= total]
-        start = int.from_bytes(bytes([_START]) * (k - 1), "big")  # precedes texts without being part of them
-        if nodes[k][1][nodes[k][0] >> 8 == start].sum() * keep >= total:
-            contexts = np.append(contexts, start)
-        stay = np.isin(nodes[k][0] >> 8, contexts)
-        out[k] = (nodes[k][0][stay], nodes[k][1][stay])
-    return out
-
-
-class Automaton:
-    """Code lengths (log10) and next states by (state, byte class); state 0 is the empty context."""
-
-    def __init__(self, nodes: dict[int, tuple[np.ndarray, np.ndarray]]):
-        used = np.union1d(nodes[1][0], [_START])  # contexts begin with start bytes whether or not texts have them
-        self.symbol = np.full(256, len(used), np.int32)
-        self.symbol[used] = np.arange(len(used))
-        width = len(used) + 1  # the last class: bytes that never occur in the trie
-        sizes, keys = [], []
-        counts, missing = [], []
-        for k in range(ORDER + 1):
-            gram, n = nodes[k + 1]
-            ctx = np.unique(gram >> 8) if k else np.zeros(1, np.int64)
-            table = np.zeros((len(ctx), width))
-            if len(gram):
-                table[np.searchsorted(ctx, gram >> 8), self.symbol[gram & 255]] = n
-            own = np.zeros(len(ctx))
-            at = np.searchsorted(nodes[k][0], ctx) if len(nodes[k][0]) else np.zeros(len(ctx), int)
-            found = (at < len(nodes[k][0])) & (nodes[k][0][np.minimum(at, len(nodes[k][0]) - 1)] == ctx) if len(nodes[k][0]) else np.zeros(len(ctx), bool)
-            own[found] = nodes[k][1][at[found]]
-            counts.append(table)
-            missing.append(np.maximum(0, own - table.sum(axis=1)))
-            keys.append(ctx)
-            sizes.append(len(ctx))
-        offset = np.cumsum([0, *sizes])
-        cost = np.zeros((offset[-1], width))
-        nxt = np.zeros((offset[-1], width), np.int32)
-        other: list[np.ndarray] = []  # by order: cost of what the context itself doesn't have
-        for k in range(ORDER + 1):
-            table = counts[k]
-            has = table > 0
-            if k == 0:
-                rest = np.where(has, 0.0, -np.log10(1.0 / max(1, 256 - has.sum())))
-            else:
-                low = np.searchsorted(keys[k - 1], keys[k] & ((1 << (8 * (k - 1))) - 1))
-                below = np.where(has, 0.0, counts[k - 1][low])
-                q = (below > 0).sum(axis=1)
-                escape = q + missing[k - 1][low]
-                whole = below.sum(axis=1) + escape
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    rest = np.where(below > 0, -np.log10(below / whole[:, None]), other[k - 1][low] + np.where(escape > 0, -np.log10(escape / whole), 0.0)[:, None])
-            other.append(rest)
-            escape = has.sum(axis=1) + missing[k]
-            whole = table.sum(axis=1) + escape
-            with np.errstate(divide="ignore", invalid="ignore"):
-                leave = np.where(escape > 0, -np.log10(escape / whole), 0.0)
-                cost[offset[k] : offset[k + 1]] = np.where(has, -np.log10(table / whole[:, None]), leave[:, None] + rest)
-            # where a byte leads: the longest suffix that is a context
-            step = np.zeros_like(table, dtype=np.int32)
-            if k:
-                step = nxt[offset[k - 1] + low]
-            if k < ORDER and len(used):
-                longer = (keys[k][:, None] << 8 | used[None, :]) & ((1 << (8 * ORDER)) - 1)
-                step = step.copy()
-                self._lead(step[:, :-1], longer, keys[k + 1], offset[k + 1])
-            elif len(used) and k:
-                longer = (keys[k][:, None] << 8 | used[None, :]) & ((1 << (8 * ORDER)) - 1)
-                step = step.copy()
-                self._lead(step[:, :-1], longer, keys[k], offset[k])
-            nxt[offset[k] : offset[k + 1]] = step
-        self.width = width
-        self.cost, self.next = cost.astype(np.float32).ravel(), nxt.ravel()
-
-    @staticmethod
-    def _lead(step: np.ndarray, longer: np.ndarray, keys: np.ndarray, offset: int) -> None:
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, longer), len(keys) - 1)
-            hit = keys[at] == longer
-            step[hit] = at[hit] + offset
-
-    def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its end byte."""
-        joined = self.symbol[np.frombuffer(b"".join(bytes([_START]) * ORDER + t + bytes([_END]) for t in texts), np.uint8)]
-        lens = np.array([len(t) + 1 for t in texts])
-        starts = np.cumsum(lens + ORDER) - lens - ORDER
-        lanes = -(-lens // LANE)
-        doc = np.repeat(np.arange(len(texts)), lanes)
-        at = (np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
-        size = np.minimum(LANE, lens[doc] - at)
-        at = at + starts[doc]
-        order = np.argsort(-size, kind="stable")
-        at, size = at[order], size[order]
-        active = np.searchsorted(-size, -np.arange(LANE), side="left")  # lanes longer than t
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
-        for t in range(ORDER):
-            state = self.next[state * self.width + joined[at + t]].astype(np.int64)
-        for t in range(int(size[0]) if len(size) else 0):
-            m = int(active[t])
-            cell = state[:m] * self.width + joined[at[:m] + (t + ORDER)]
-            total[:m] += self.cost[cell]
-            state[:m] = self.next[cell]
-        return -np.bincount(doc[order], total, len(texts))
-
-
 def _scored(texts: list[bytes], grams: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
     """log10 probability of each text as far as grams (sorted) know it, and the grams that they don't, with their number."""
     own, inv = np.unique(_codes(texts), return_inverse=True) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
