@@ -1,16 +1,21 @@
 """SentencePiece models encoded and decoded by the tokenizers library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, scores (unigram models) or merges (BPE models, whose order
-is that of the scores) and byte fallback are rebuilt from it, and whole batches of texts are encoded by the library's
-threads. Texts are cut before each run of markers unless a piece of the vocabulary crosses such a place, which changes no
-result and lets the library's cache work by word. `verify` compares ids with the sentencepiece library itself.
+is that of the scores), user-defined pieces and byte fallback are rebuilt from it, and whole batches of texts are encoded, and
+decoded again, by the library's threads. Texts are cut before each run of markers unless a piece of the vocabulary crosses such
+a place, which changes no result and lets the library's cache work by word. `verify` compares ids and texts with the
+sentencepiece library itself; it runs on probes in every worker, and on the rows of each batch that a parameter asks for.
+What can't be rebuilt with equal results is refused: word and character models, a marker as suffix, and user-defined pieces of
+BPE models.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; characters outside the vocabulary fall back to
-bytes (or the unknown piece, where the model has no byte pieces); every row is encoded whole, repeated rows alike.
+bytes (or the unknown piece, where the model has no byte pieces); every row is encoded whole, repeated rows alike; a null id
+of a row stays null.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from functools import lru_cache
 
@@ -28,6 +33,9 @@ UNIGRAM, BPE = 1, 2
 #: Words whose pieces a worker remembers (more cost longer look-ups than they save), and threads of a worker.
 CACHE = 10_000
 THREADS = 2
+#: Texts of a batch that are compared with the sentencepiece library besides the probes, by their first characters; results don't depend on it.
+CHECK = 4
+SAMPLE = 2000
 
 
 def _fields(data: bytes):
@@ -76,7 +84,8 @@ class SentencePieceModel:
         self.surface = trainer.get(44, " \u2047 ".encode()).decode()
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.byte_fallback = any(p[2] == BYTE for p in self.pieces)
-        self.whitespace_as_suffix = bool(trainer.get(24, 0))
+        if trainer.get(24, 0):
+            raise ValueError("the marker as a suffix of words is not supported")
         self.charsmap = norm.get(2, b"")
         self.dummy_prefix = bool(norm.get(3, 1))
         self.squeeze = bool(norm.get(4, 1))
@@ -94,10 +103,10 @@ class SentencePieceModel:
 
     def tokenizer(self):
         """The same tokenizer in the tokenizers library."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
         if self.kind == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
+            model = models.Unigram([(p, 0.0 if kind == USER else s) for p, s, kind in self.pieces], unk_id=self.unknown, byte_fallback=self.byte_fallback)
         elif self.kind == BPE:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
             model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=CACHE)
@@ -108,21 +117,31 @@ class SentencePieceModel:
         if self.charsmap:
             steps.append(normalizers.Precompiled(self.charsmap))
         if self.squeeze:
-            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(MARK if self.escape else " "))
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
         if steps:
             t.normalizer = normalizers.Sequence(steps)
+        cuts = []
+        if user := sorted((p for p, _, kind in self.pieces if kind == USER), key=len, reverse=True):
+            if self.kind == BPE:
+                raise ValueError("user-defined pieces of a BPE model are not supported")
+            cuts.append(pre_tokenizers.Split(Regex("|".join(re.escape(p) for p in user)), "isolated"))
         if not any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER)):
-            t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
-        t.decoder = decoders.Sequence([decoders.Replace(self.pieces[self.unknown][0], self.surface), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] + ([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []))
+            cuts.append(pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated"))
+        if cuts:
+            t.pre_tokenizer = pre_tokenizers.Sequence(cuts)
         return t
 
-    def parts(self) -> list[bytes]:
-        """The bytes that each id stands for in a decoded text."""
-        return [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else self.surface.encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
+    def decoder(self, unknown: bool):
+        """The library's decoder; `unknown` for ids among which the unknown piece is, which stands for its surface."""
+        from tokenizers import decoders
+
+        steps = [decoders.Replace(self.pieces[self.unknown][0], self.surface)] if unknown else []
+        steps += [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        return decoders.Sequence(steps + ([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []))
 
 
 @lru_cache(maxsize=4)
@@ -143,34 +162,32 @@ def encode_texts(texts: list[str | None], path: str = MODEL) -> list[list[int]]:
 
 
 def decode_ids(ids: list[list[int]], path: str = MODEL) -> list[str]:
-    return load(path)[1].decode_batch(ids, skip_special_tokens=False) if ids else []
-
-
-def join_pieces(ids: list[list[int]], path: str = MODEL) -> list[str]:
-    """What decode_ids gives, by looking up the bytes of each id: cheap enough to check every row's round trip."""
-    model, _ = load(path)
-    table, prefix = _parts(path), model.dummy_prefix
-    out = []
-    for row in ids:
-        text = b"".join([table[i] for i in row]).decode("utf-8", "replace")
-        out.append(text[1:] if prefix and text[:1] == " " else text)
+    """The text of each list of ids; the batch is decoded by the library's threads."""
+    model, t = load(path)
+    out = [""] * len(ids)
+    odd = [i for i, row in enumerate(ids) if row and model.unknown in row]
+    plain = sorted(set(range(len(ids))) - set(odd)) if odd else range(len(ids))
+    for unknown, part in ((False, plain), (True, odd)):
+        if part:
+            t.decoder = model.decoder(unknown)
+            for i, text in zip(part, t.decode_batch([ids[i] for i in part], skip_special_tokens=False)):
+                out[i] = text
     return out
 
 
-@lru_cache(maxsize=4)
-def _parts(path: str) -> list[bytes]:
-    return load(path)[0].parts()
-
-
 def verify(texts: list[str], path: str = MODEL) -> list[int]:
     """Indices of the texts whose ids or decoded text differ from the sentencepiece library's."""
+    sp = _original(path)
+    ours, theirs = encode_texts(texts, path), sp.encode(texts, num_threads=1)
+    back, first = decode_ids(ours, path), sp.decode(theirs)
+    return [i for i in range(len(texts)) if ours[i] != theirs[i] or back[i] != first[i]]
+
+
+@lru_cache(maxsize=4)
+def _original(path: str):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    ours = encode_texts(texts, path)
-    theirs = sp.encode(texts, num_threads=1)
-    back, joined = decode_ids(ours, path), join_pieces(ours, path)
-    return [i for i in range(len(texts)) if ours[i] != theirs[i] or back[i] != sp.decode(theirs[i]) or joined[i] != back[i]]
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 #: Parity is verified on these before a worker encodes anything.
@@ -185,9 +202,12 @@ def _ready(path: str) -> None:
         _verified.add(path)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
-    """One row per document: id_col, ids, n_tokens, and round_trip (whether decoding gives the text back)."""
-    batched(docs.sparkSession, 256)
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, check: int = CHECK) -> DataFrame:
+    """One row per document: id_col, ids, n_tokens, and round_trip (whether the library decodes the ids to the text again).
+
+    The first `check` texts of each batch are also compared with the sentencepiece library; a difference stops the job.
+    """
+    batched(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -199,7 +219,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for b in batches:
             texts = b.column(1).to_pylist()
             ids = encode_texts(texts, path)
-            back = join_pieces(ids, path)
+            back = decode_ids(ids, path)
+            if wrong := verify([t[:SAMPLE] for t in texts[:check] if t], path):
+                raise ValueError(f"{path}: the rebuilt tokenizer differs on {len(wrong)} texts of a batch")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array([(t or "") == x for t, x in zip(texts, back)])],
                 ["id", "ids", "n_tokens", "round_trip"],
@@ -210,7 +232,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = MODEL) -> DataFrame:
     """One row per row: id_col, text."""
-    batched(encoded.sparkSession, 256)
+    batched(encoded.sparkSession)
     src = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches):
