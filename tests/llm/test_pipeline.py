@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_operators import brute_fingerprint, brute_measures, brute_spans
 
@@ -38,6 +39,42 @@ def test_stages(spark, tiny, tmp_path):
     assert all(r["round_trip"] for r in after["tokenize"].values())
 
 
+def test_stages_on_odd_rows(spark, tiny, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns and an empty table, through every stage."""
+    first = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    text = {r["doc_id"]: r["text"] for r in first.collect()}
+    odd = [(1, None), (1, ""), (None, text[0]), (None, None), (1, text[1]), (1, text[1])]
+    extra = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = first.unionByName(extra)
+    for c in ("row", "model", "id", "fp", "_id", "_hash", "d", "t", "n", "kept", "spans"):
+        rows = rows.withColumn(c, F.lit("clash"))
+    for docs in (rows, rows.limit(0)):
+        full = docs.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            alone = stage(spark, docs, tiny)
+            n = alone.count()
+            assert n <= full and (full == 0 or n > 0)
+            assert alone.columns == docs.columns if k < 4 else n == full
+            if k < 4 and full:
+                assert alone.filter("row <> 'clash' OR spans <> 'clash'").isEmpty()
+    again = {}
+    docs = rows
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / f"odd-{name}")
+        stage(spark, docs, tiny).write.parquet(path)
+        docs = spark.read.parquet(path)
+        again[name] = docs.count()
+    assert 0 < again["tokenize"] == again["redact"] == again["decontaminate"] <= again["near_dedup"] <= again["quality_rules"] < 66
+
+
+def test_texts_are_shuffled_once(spark, tiny):
+    """Only near_dedup exchanges a column of texts."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 0 or name == "near_dedup", name
+
+
 def test_registered(spark, tiny):
     from srcloom.llm import queries
 
