@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,21 +133,28 @@ def with_embeddings(parts: DataFrame, vectors: DataFrame) -> DataFrame:
     return parts.join(vectors, "id", "left").crossJoin(F.broadcast(checked)).filter("ok").drop("ok")  # one row
 
 
-def similar(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """(id, similarity) of every vector to a query vector."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("id", T.cosine(F.transform("embedding", lambda x: x.cast("double")), q).alias("similarity"))
+#: Query vectors that meet all vectors at once.
+QUERY_BLOCK = 500
+
+
+def similar(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, similarity) of every vector to each of a stated set of queries(query_id, embedding), which is taken in blocks."""
+    v = vectors.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    parts = [q] if blocks == 1 else [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [v.crossJoin(F.broadcast(part)).select("query_id", "id", T.cosine(F.col("v"), F.col("q")).alias("similarity")) for part in parts])
 
 
-def blend(lexical: DataFrame, vectors: DataFrame, query: list[float], weight: float = VECTOR_WEIGHT) -> DataFrame:
-    """(id, score): lexical scores over their maximum plus weighted similarity; vectors alone count from a similarity of 0.2.
+def blend(lexical: DataFrame, vectors: DataFrame, queries: DataFrame | None, weight: float = VECTOR_WEIGHT) -> DataFrame:
+    """(query_id, id, score): lexical(query_id, id, score) over its query's maximum plus weighted similarity; vectors alone count from a similarity of 0.2.
 
-    A lexical hit without a vector keeps its raw score; without a query vector nothing changes.
+    A lexical hit without a vector keeps its raw score; so does a query without a vector.
     """
-    if not query:
-        return lexical.select("id", "score")
-    s = similar(vectors, query)
-    most = lexical.agg(F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(1e-9)).alias("most"))
-    both = lexical.select("id", "score").join(s, "id", "full_outer").crossJoin(F.broadcast(most))
+    lexical = lexical.select("query_id", "id", "score")
+    if queries is None:
+        return lexical
+    most = lexical.groupBy("query_id").agg(F.greatest(F.max("score"), F.lit(1e-9)).alias("most"))
+    both = lexical.join(similar(vectors, queries), ["query_id", "id"], "full_outer").join(F.broadcast(most), "query_id", "left")  # a row for each query
     score = F.when(F.col("similarity").isNull(), F.col("score")).when(F.col("score").isNotNull(), F.col("score") / F.col("most") + weight * F.col("similarity")).when(F.col("similarity") > VECTOR_FLOOR, weight * F.col("similarity"))
-    return both.select("id", score.alias("score")).filter("score IS NOT NULL")
+    return both.select("query_id", "id", score.alias("score")).filter("score IS NOT NULL")

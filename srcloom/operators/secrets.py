@@ -16,8 +16,8 @@ RULES = (
     ("assignment", "medium", r"""(?i)(?:password|secret|token|api[_-]?key)[ \t]*[:=][ \t]*["'][^"']{8,}["']"""),
 )
 PLACEHOLDER = r"(?i)example|change[-_]?me|your[-_]|placeholder|xxx"
-#: Longer lines are generated code.
-LONGEST_LINE = 1000
+#: Fixed value: from this length on, lines are generated code and aren't scanned.
+LONGEST_LINE = 4000
 
 
 def is_placeholder(value: Column) -> Column:
@@ -30,7 +30,7 @@ def fingerprint(value: Column) -> Column:
 
 def scan(files: DataFrame) -> DataFrame:
     """(path, line, kind, severity, fingerprint, preview) of every match in files(path, content); lines count from 1."""
-    rows = files.select("path", F.posexplode(F.split("content", r"\r?\n", -1)).alias("line", "row")).filter(F.length("row") <= LONGEST_LINE)
+    rows = files.select("path", F.posexplode(F.split("content", r"\r?\n", -1)).alias("line", "row")).filter(F.length("row") < LONGEST_LINE)
     any_rule = reduce(lambda a, b: a | b, [F.col("row").rlike(p) for _, _, p in RULES])
     rows = rows.filter(any_rule)
     hits = F.flatten(F.array(*[_tagged(*rule) for rule in RULES]))

@@ -120,9 +120,11 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], *last: Column) -> DataFrame:
-    """old with the rows of new in place of those with the same keys; of rows in new with one key the last by `last` wins."""
+    """old with the rows of new in place of those with the same keys; of rows in new with one key the last by `last` wins, or by their order in new."""
     if last:
         new = first_by(new, keys, *[c.desc() for c in last])
+    else:
+        new = first_by(new.withColumn("_at", F.monotonically_increasing_id()), keys, F.col("_at").desc()).drop("_at")
     same = reduce(lambda a, b: a & b, [old[k].eqNullSafe(new[k]) for k in keys])
     return old.join(new, same, "left_anti").unionByName(new)
 
@@ -163,7 +165,10 @@ def delete_paths(nodes: DataFrame, edges: DataFrame, repo: str, paths: DataFrame
 
 
 def store_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, repo: str, replace_paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The store after a graph is written: replaced paths go first, then nodes by (repo_id, id), then edges with both ends by (from, kind, to)."""
+    """The store after a graph is written: replaced paths go first, then nodes by (repo_id, id), then edges with both ends by (from, kind, to).
+
+    Of new rows with one key the last wins.
+    """
     if replace_paths is not None:
         nodes, edges = delete_paths(nodes, edges, repo, replace_paths)
     nodes = upsert(nodes, new_nodes, ["repo_id", "id"])

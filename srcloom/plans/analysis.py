@@ -15,7 +15,10 @@ TABLES = ("parsed", "fingerprints", "nodes", "edges")
 
 
 class Repository:
-    """Tables of analysed repositories in a folder, each partitioned by repo_id.
+    """Tables of analysed repositories in a folder, each partitioned by repo_id and version.
+
+    An analysis writes a new version of all tables and then marks it as done; the latest done version counts, so a run that
+    fails on the way leaves what was there before. Older versions are removed after that.
 
     Parsed facts are kept, so that an incremental run resolves the whole repository from old and new facts together: edges
     from unchanged files are as fresh as those from changed ones.
@@ -24,17 +27,32 @@ class Repository:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _path(self, table: str, repo: str) -> str:
+    def _fs(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def _repo(self, table: str, repo: str) -> str:
         return f"{self.folder}/{table}/repo_id={repo.replace('/', '%2F')}"
 
-    def read(self, table: str, repo: str) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(table, repo))
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(self._path(table, repo)).withColumn("repo_id", F.lit(repo))
+    def version(self, repo: str) -> int:
+        """The latest version that is done; 0 without any."""
+        fs, marks = self._fs(self._repo("done", repo))
+        return max((int(x.getPath().getName()) for x in fs.listStatus(marks)), default=0) if fs.exists(marks) else 0
+
+    def read(self, table: str, repo: str, version: int | None = None) -> DataFrame | None:
+        version = self.version(repo) if version is None else version
+        return self.spark.read.parquet(f"{self._repo(table, repo)}/version={version}").withColumn("repo_id", F.lit(repo)) if version else None
+
+    def _write(self, table: str, repo: str, version: int, df: DataFrame) -> None:
+        df.drop("repo_id").write.mode("overwrite").parquet(f"{self._repo(table, repo)}/version={version}")
 
-    def _write(self, table: str, repo: str, df: DataFrame) -> None:
-        materialise(df.drop("repo_id"), table).write.mode("overwrite").parquet(self._path(table, repo))
+    def _done(self, repo: str, version: int) -> None:
+        fs, mark = self._fs(f"{self._repo('done', repo)}/{version}")
+        fs.create(mark, True).close()
+        for old in range(1, version):
+            for place in (f"{self._repo('done', repo)}/{old}", *(f"{self._repo(t, repo)}/version={old}" for t in TABLES)):
+                gone, path = self._fs(place)
+                gone.delete(path, True)
 
     def analyse(self, files: DataFrame, repo: str, force: bool = False, version: str = source.PARSER_VERSION) -> dict:
         """Brings the tables of a repository up to date with its files(path, content); counts of files by change, and the graph's statistics."""
@@ -49,21 +67,24 @@ class Repository:
         if before is not None:
             gone = change.filter("change = 'deleted'").select("path").union(todo.select("path"))
             parsed = before.join(gone, "path", "left_anti").unionByName(parsed)
-        self._write("parsed", repo, parsed)
-        parsed = self.read("parsed", repo)
+        version_now = self.version(repo) + 1
+        self._write("parsed", repo, version_now, parsed)
+        parsed = self.read("parsed", repo, version_now)
         good = parsed.filter("error IS NULL").select("path")
-        self._write("fingerprints", repo, source.fingerprints(files.join(good, "path", "left_semi"), version))
+        self._write("fingerprints", repo, version_now, source.fingerprints(files.join(good, "path", "left_semi"), version))
         nodes, edges, stats = R.resolve(*registry.facts(parsed))
-        self._write("nodes", repo, nodes)
-        self._write("edges", repo, S.linkable(edges, nodes))
+        nodes, edges = materialise(nodes, "nodes"), materialise(edges, "edges")
+        kept_nodes, kept_edges = S.store_graph(nodes.limit(0), edges.limit(0), nodes, edges, repo)
+        self._write("nodes", repo, version_now, kept_nodes)
+        self._write("edges", repo, version_now, kept_edges)
+        self._done(repo, version_now)
         counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
         return {k: counts.get(k, 0) for k in ("changed", "unchanged", "deleted")} | {"errors": parsed.filter("error IS NOT NULL").count()} | stats.first().asDict()
 
     def clear(self, repo: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for table in TABLES:
-            path = jvm.org.apache.hadoop.fs.Path(self._path(table, repo))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for table in ("done", *TABLES):
+            fs, path = self._fs(self._repo(table, repo))
+            fs.delete(path, True)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -122,6 +122,21 @@ def upsert_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(n, new.unionByName(fresh), ["repo_id", "id"]).select("id", "kind", "name")
 
 
+@query(O.graph(
+    "both_in AS (SELECT e.repo_id, e.id FROM edges e JOIN nodes a ON a.repo_id = e.repo_id AND a.id = e.from_id JOIN nodes b ON b.repo_id = e.repo_id AND b.id = e.to_id WHERE e.kind = 'IMPORTS')",
+    "SELECT id, kind, CASE WHEN kind = 'Interface' AND id LIKE '%7' THEN 'last' ELSE name END AS value FROM nodes UNION ALL SELECT e.id, e.kind, CASE WHEN b.id IS NOT NULL THEN 'inferred' ELSE e.resolution END FROM edges e LEFT JOIN both_in b ON b.repo_id = e.repo_id AND b.id = e.id",
+))
+def store_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """New nodes come twice, the second row of each is stored; new edges replace old ones where both ends are nodes of the repository."""
+    n, e = A.nodes(spark, sf), A.edges(spark, sf)
+    some = n.filter("kind = 'Interface' AND id LIKE '%7'")
+    twice = some.withColumn("name", F.lit("first")).union(some.withColumn("name", F.lit("last")))
+    imports = e.filter("kind = 'IMPORTS'").withColumn("resolution", F.lit("inferred"))
+    loose = imports.limit(1).withColumn("to_id", F.lit("nowhere")).withColumn("id", F.lit("loose"))
+    nodes, edges = store.store_graph(n, e, twice, imports.union(loose), "r1")
+    return nodes.select("id", "kind", F.col("name").alias("value")).union(edges.select("id", "kind", "resolution"))
+
+
 @query(O.graph("g AS (SELECT id FROM nodes WHERE repo_id = 'r1' AND path = 'r1/n1.ts')", "SELECT kind, count(*) AS n FROM (SELECT kind FROM nodes WHERE NOT (repo_id = 'r1' AND id IN (SELECT id FROM g)) UNION ALL SELECT kind FROM edges WHERE NOT (repo_id = 'r1' AND (from_id IN (SELECT id FROM g) OR to_id IN (SELECT id FROM g)))) GROUP BY kind"))
 def delete_paths(spark: SparkSession, sf: str) -> DataFrame:
     n = A.nodes(spark, sf)
@@ -365,12 +380,25 @@ def bm25_all(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bm25(idx, _questions(spark, sf), None).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 3).alias("score"))
 
 
-@query()
+@query(O.bm25("SELECT query_id, id, round(score, 6) AS score, rank, matched || '/' || (SELECT len(q.terms) FROM q WHERE q.query_id = ranked.query_id) || ' query terms matched' || CASE WHEN by_name THEN '; symbol name matches a query term' ELSE '' END || CASE WHEN by_path THEN '; file path matches a query term' ELSE '' END AS reasons FROM ranked WHERE rank <= 8", O.SYMBOL))
 def bm25_boosted(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, files = X.code(spark)
-    idx = retrieval.index(retrieval.chunks(nodes, files), "path", "symbol_name")
-    q = X.frame(spark, [(0, "Where is user authentication implemented?"), (1, "sessions")], "query_id long, text string")
-    return retrieval.bm25(idx, q).select("query_id", "id", F.round("score", 6).alias("score"), "rank", F.array_join("reasons", "; ").alias("reasons"))
+    parts = retrieval.window_chunks(A.files(spark, sf), window=O.WINDOW).withColumn("symbol_name", F.regexp_extract("text", "[A-Za-z]+", 0))
+    parts = parts.withColumn("searchable", retrieval.searchable(F.col("path"), F.lit(None).cast("string"), F.col("symbol_name"), F.col("text")))
+    ranked = retrieval.bm25(retrieval.index(parts, "path", "symbol_name"), _questions(spark, sf))
+    return ranked.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(O.windows(O.POSTINGS, "SELECT (SELECT count(*) FROM chunks) AS chunks, round((SELECT count(*) FROM postings) / (SELECT count(*) FROM chunks), 6) AS average_length, (SELECT count(DISTINCT term) FROM postings) AS terms"))
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    idx = retrieval.index(retrieval.window_chunks(A.files(spark, sf), window=O.WINDOW))
+    return retrieval.index_stats(idx).select("chunks", F.round("average_length", 6).alias("average_length"), "terms")
+
+
+@query("SELECT vec_id, label, len(embedding)::BIGINT AS n FROM embeddings")
+def with_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "embeddings")
+    parts = e.select(F.col("vec_id").alias("id"), "label")
+    return retrieval.with_embeddings(parts, e.select(F.col("vec_id").alias("id"), "embedding")).select(F.col("id").alias("vec_id"), "label", F.size("embedding").cast("long").alias("n"))
 
 
 @query(O.values("pairs", X.TERM_PAIRS, "a, b, expected", "SELECT a, b, expected AS hit FROM pairs"))
@@ -378,30 +406,31 @@ def term_match(spark: SparkSession, sf: str) -> DataFrame:
     return X.frame(spark, X.TERM_PAIRS, "a string, b string, expected boolean").select("a", "b", T.terms_match(F.col("a"), F.col("b")).alias("hit"))
 
 
-@query(O.COSINE + "SELECT vec_id, round(similarity, 5) AS similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 20")
+@query(O.COSINE + "SELECT query_id, vec_id, round(similarity, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 20")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     v, q = _vectors(spark, sf)
-    return retrieval.similar(v, q).orderBy(F.desc("similarity"), "id").limit(20).select(F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+    best = retrieval.top(retrieval.similar(v, q).withColumnRenamed("similarity", "score"), 20)
+    return best.select("query_id", F.col("id").alias("vec_id"), F.round("score", 5).alias("similarity"))
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[float]]:
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those that are queries: every row whose id is divisible by 100."""
     v = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return v, [float(x) for x in v.orderBy("id").first()["embedding"]]  # one row: the query vector
+    return v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding", F.col("label").alias("q_label"))
 
 
-@query(O.COSINE + ", lex AS (SELECT vec_id, 1 + vec_id % 7 AS score FROM embeddings WHERE label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1)), m AS (SELECT max(score) AS most FROM lex), b AS (SELECT vec_id, CASE WHEN score IS NOT NULL THEN score / most + 0.35 * similarity WHEN similarity > 0.2 THEN 0.35 * similarity END AS score FROM s LEFT JOIN lex USING (vec_id), m) SELECT vec_id, round(score, 5) AS score FROM b WHERE score IS NOT NULL")
+@query(O.COSINE + ", lex AS (SELECT query_id, vec_id, 1 + vec_id % 7 AS score FROM embeddings JOIN q ON label = q_label), m AS (SELECT query_id, max(score) AS most FROM lex GROUP BY query_id), b AS (SELECT query_id, vec_id, CASE WHEN score IS NOT NULL THEN score / most + 0.35 * similarity WHEN similarity > 0.2 THEN 0.35 * similarity END AS score FROM s LEFT JOIN lex USING (query_id, vec_id) JOIN m USING (query_id)) SELECT query_id, vec_id, round(score, 5) AS score FROM b WHERE score IS NOT NULL")
 def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
     v, q = _vectors(spark, sf)
-    own = v.orderBy("id").limit(1).select("label")  # hits: the vectors with the query's label
-    lex = v.join(F.broadcast(own), "label", "left_semi").select("id", (1 + F.col("id") % 7).cast("double").alias("score"))
-    return retrieval.blend(lex, v, q).select(F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+    lex = v.join(F.broadcast(q.select("query_id", F.col("q_label").alias("label"))), "label").select("query_id", "id", (1 + F.col("id") % 7).cast("double").alias("score"))  # hits: vectors with the query's label
+    return retrieval.blend(lex, v, q).select("query_id", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
-@query()
+@query(O.bm25("SELECT query_id, rank, path, start_line, end_line, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || chr(10) || '... (truncated)' ELSE text END AS excerpt FROM ranked JOIN chunks USING (id) WHERE rank <= 6"))
 def assistant_citations(spark: SparkSession, sf: str) -> DataFrame:
     parts = retrieval.window_chunks(A.files(spark, sf), window=O.WINDOW)
     hits = retrieval.bm25(retrieval.index(parts, "path", "symbol_name"), _questions(spark, sf), assistant.clamp(None))
-    return assistant.citations(hits, parts).select("query_id", "rank", "path", "start_line", "end_line", "excerpt")
+    return assistant.citations(hits, parts).select("query_id", F.col("rank").cast("long").alias("rank"), "path", "start_line", "end_line", "excerpt")
 
 
 # quality
@@ -458,10 +487,17 @@ def q_fanout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(O.DUPLICATES)
 def q_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.files(spark, sf).select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), "path", F.col("content").alias("body"))
+    """Documents as bodies; those of one source lie in one path, and never pair."""
+    d = A.files(spark, sf).select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), F.element_at(F.split("path", "/"), 1).alias("path"), F.col("content").alias("body"))
     return quality.duplicates(d).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT 'cycle:' || replace(ids, ',', '|') AS id, 'circular-import' AS kind, CASE WHEN size > 3 THEN 'high' ELSE 'medium' END AS severity, size::DOUBLE AS metric FROM ({O.SCC})")
+def q_circular(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _supplier_graph(spark, sf)
+    return quality.circular_imports(graph.cycles(nodes, edges)).select(*_FINDING)
+
+
 @query(O.HOTSPOTS)
 def q_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     n = A.metrics_nodes(spark, sf)

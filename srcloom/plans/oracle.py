@@ -111,9 +111,16 @@ def windows(*parts: str) -> str:
 POSTINGS = f"postings AS (SELECT id, unnest(terms) AS term, len(terms) AS size FROM (SELECT id, list_distinct({tokens(chr(112) + 'ath || ' + chr(39) + ' ' + chr(39) + ' || text')}) AS terms FROM chunks))"
 
 
-def bm25(select: str) -> str:
+#: The name of a window's symbol in bm25_boosted: its first word of letters.
+SYMBOL = "regexp_extract(text, '[A-Za-z]+', 0)"
+
+
+def bm25(select: str, symbol: str = "''") -> str:
+    """Ranked windows; with a symbol, an expression over a chunk's text, names count as text and boost."""
+    posts = POSTINGS.replace("path || ' ' || text", f"path || ' ' || {symbol} || ' ' || text")
+    names = f"namehit AS (SELECT c.id, q.query_id FROM (SELECT id, list_distinct({tokens(symbol)}) AS pt FROM chunks) c, q WHERE EXISTS (SELECT 1 FROM (SELECT unnest(pt) AS x) a, (SELECT unnest(q.terms) AS y) b WHERE {_match('x', 'y')}))"
     return windows(
-        POSTINGS,
+        posts,
         f"q AS (SELECT item_id AS query_id, list_distinct({tokens('text')}) AS terms FROM benchmark WHERE item_id % 100 = 0)",
         f"qt AS (SELECT query_id, term, {stem('term')} AS stem, {stem('term')} AS key FROM (SELECT query_id, unnest(terms) AS term FROM q))",
         "total AS (SELECT count(DISTINCT id) AS n FROM chunks), mean AS (SELECT sum(size) / count(*) AS m FROM (SELECT DISTINCT id, size FROM postings)), "
@@ -122,7 +129,9 @@ def bm25(select: str) -> str:
         "hits AS (SELECT query_id, qt.term, p.id, p.size, 1 AS tf FROM qt JOIN postings p ON p.term = qt.term UNION ALL SELECT query_id, qt.term, sp.id, sp.size, sp.tf FROM qt JOIN sp ON sp.stem = qt.stem WHERE NOT EXISTS (SELECT 1 FROM postings p WHERE p.term = qt.term AND p.id = sp.id))",
         "parts AS (SELECT query_id, id, greatest(0.05, ln(1 + (n - coalesce(df, 1) + 0.5) / (coalesce(df, 1) + 0.5))) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * size / (m * (n - z) / n))) AS part FROM hits LEFT JOIN df USING (term), total, mean, blank)",
         f"pathhit AS (SELECT c.id, q.query_id FROM (SELECT id, list_distinct({tokens('path')}) AS pt FROM chunks) c, q WHERE len(list_filter(q.terms, lambda t: length(t) >= 3)) > 0 AND EXISTS (SELECT 1 FROM (SELECT unnest(pt) AS x) a, (SELECT unnest(q.terms) AS y) b WHERE {_match('x', 'y')}))",
-        "scored AS (SELECT p.query_id, p.id, sum(part) * CASE WHEN max(h.id) IS NOT NULL THEN 1.2 ELSE 1 END AS score, count(*) AS matched FROM parts p LEFT JOIN pathhit h ON h.id = p.id AND h.query_id = p.query_id GROUP BY p.query_id, p.id)",
+        names,
+        "scored AS (SELECT p.query_id, p.id, sum(part) * CASE WHEN max(g.id) IS NOT NULL THEN 1.6 ELSE 1 END * CASE WHEN max(h.id) IS NOT NULL THEN 1.2 ELSE 1 END AS score, count(*) AS matched, max(g.id) IS NOT NULL AS by_name, max(h.id) IS NOT NULL AS by_path "
+        "FROM parts p LEFT JOIN pathhit h ON h.id = p.id AND h.query_id = p.query_id LEFT JOIN namehit g ON g.id = p.id AND g.query_id = p.query_id GROUP BY p.query_id, p.id)",
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0)",
         select,
     )
@@ -135,8 +144,8 @@ def _match(a: str, b: str) -> str:
 
 
 COSINE = (
-    "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1), "
-    "s AS (SELECT vec_id, CASE WHEN len(embedding) <> len(v) OR len(v) = 0 OR list_dot_product(v, v) = 0 OR list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 0 ELSE list_dot_product(embedding::DOUBLE[], v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) END AS similarity FROM embeddings, q) "
+    "WITH q AS (SELECT vec_id AS query_id, label AS q_label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), "
+    "s AS (SELECT query_id, vec_id, CASE WHEN len(embedding) <> len(v) OR len(v) = 0 OR list_dot_product(v, v) = 0 OR list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 0 ELSE list_dot_product(embedding::DOUBLE[], v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) END AS similarity FROM embeddings, q) "
 )
 
 _SPACE = "\\t\\n\\v\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
@@ -156,12 +165,16 @@ def normalized(text: str) -> str:
 
 
 DUPLICATES = files(
-    f"s AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, path, list_sort(list_distinct(list_filter(string_split({normalized('content')}, ' '), lambda t: t <> ''))) AS tokens FROM files WHERE length({normalized('content')}) > 120)",
-    "reps AS (SELECT min(id) AS id, tokens, len(tokens) AS size FROM s WHERE len(tokens) > 0 GROUP BY tokens)",
-    "p AS (SELECT id, size, unnest(tokens) AS token FROM reps)",
-    "c AS (SELECT x.id AS a, y.id AS b, count(*) AS shared, x.size AS m, y.size AS n FROM p x JOIN p y ON x.token = y.token AND x.id < y.id AND least(x.size, y.size) >= 0.85 * greatest(x.size, y.size) GROUP BY ALL)",
-    "copies AS (SELECT r.id AS a, s.id AS b FROM s JOIN reps r ON r.tokens = s.tokens WHERE r.id <> s.id)",
-    "SELECT a, b, round(shared / (m + n - shared), 6) AS score FROM c WHERE shared / (m + n - shared) >= 0.85 UNION ALL SELECT a, b, 1.0 FROM copies",
+    f"s AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, string_split(path, '/')[1] AS path, list_sort(list_distinct(list_filter(string_split({normalized('content')}, ' '), lambda t: t <> ''))) AS tokens FROM files WHERE length({normalized('content')}) > 120)",
+    "g AS (SELECT tokens, len(tokens) AS size, min(id) AS first, arg_min(path, id) AS first_path FROM s WHERE len(tokens) > 0 GROUP BY tokens)",
+    "reps AS (SELECT g.*, (SELECT min(id) FROM s WHERE s.tokens = g.tokens AND s.path <> g.first_path) AS second FROM g)",
+    # every body is paired with the first of its class that lies in another path
+    "copies AS (SELECT DISTINCT least(s.id, o) AS a, greatest(s.id, o) AS b FROM (SELECT s.id, CASE WHEN s.path <> r.first_path THEN r.first ELSE r.second END AS o FROM s JOIN reps r USING (tokens)) s WHERE o IS NOT NULL)",
+    "p AS (SELECT first AS id, size, unnest(tokens) AS token FROM reps)",
+    "c AS (SELECT x.id AS x, y.id AS y, count(*) / (x.size + y.size - count(*)) AS score FROM p x JOIN p y ON x.token = y.token AND x.id < y.id AND least(x.size, y.size) >= 0.85 * greatest(x.size, y.size) GROUP BY x.id, y.id, x.size, y.size)",
+    "k AS (SELECT score, x.first AS xf, y.first AS yf, x.second AS xs, y.second AS ys, x.first_path <> y.first_path AS apart FROM c JOIN reps x ON x.first = c.x JOIN reps y ON y.first = c.y WHERE score >= 0.85)",
+    "u AS (SELECT score, xf AS m, yf AS n FROM k WHERE apart UNION ALL SELECT score, xf, ys FROM k WHERE NOT apart UNION ALL SELECT score, xs, yf FROM k WHERE NOT apart)",
+    "SELECT least(m, n) AS a, greatest(m, n) AS b, round(score, 6) AS score FROM u WHERE m IS NOT NULL AND n IS NOT NULL UNION ALL SELECT a, b, 1.0 FROM copies",
 )
 
 HOTSPOTS = metrics(
@@ -178,8 +191,8 @@ SUMMARY = metrics(
 _ASSIGN = "(?i)(?:password|secret|token|api[_-]?key)[ \\t]*[:=][ \\t]*[\"''][^\"'']{8,}[\"'']"
 SECRETS = files(
     "l AS (SELECT path, unnest(regexp_split_to_array(content, '\\r?\\n')) AS row, generate_subscripts(regexp_split_to_array(content, '\\r?\\n'), 1) AS line FROM files)",
-    f"h AS (SELECT path, line, 'assignment' AS kind, 'medium' AS severity, unnest(regexp_extract_all(row, '{_ASSIGN}')) AS value FROM l WHERE length(row) <= 1000 "
-    "UNION ALL SELECT path, line, 'aws-access-key', 'high', unnest(regexp_extract_all(row, '\\bAKIA[A-Z0-9]{16}\\b')) FROM l WHERE length(row) <= 1000)",
+    f"h AS (SELECT path, line, 'assignment' AS kind, 'medium' AS severity, unnest(regexp_extract_all(row, '{_ASSIGN}')) AS value FROM l WHERE length(row) < 4000 "
+    "UNION ALL SELECT path, line, 'aws-access-key', 'high', unnest(regexp_extract_all(row, '\\bAKIA[A-Z0-9]{16}\\b')) FROM l WHERE length(row) < 4000)",
     "SELECT path, line::BIGINT AS line, kind, severity, substr(sha256(value), 1, 12) AS fingerprint FROM h WHERE NOT regexp_matches(value, '(?i)example|change[-_]?me|your[-_]|placeholder|xxx')",
 )
 

@@ -19,25 +19,58 @@ LARGEST = 1_500_000
 PARSER_VERSION = "1"
 
 
+def listing(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
+    """(relative path, size, location) of supported files of at most LARGEST bytes; ignored folders aren't entered, links aren't followed.
+
+    Folders are listed through Hadoop's file system: Spark's own file index would leave out names that begin with _ or a dot.
+    """
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root if ":" in root else os.path.abspath(root) if spark.sparkContext.master.startswith("local") else root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, work = [], [(fs.makeQualified(base), "")]
+    supported = {e.lower() for e in registry.extensions()}
+    while work:
+        folder, prefix = work.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            place = status.getPath().toUri()
+            if status.isSymlink() or (place.getScheme() == "file" and os.path.islink(place.getPath())):  # the local file system doesn't tell links
+                continue
+            if status.isDirectory():
+                if name not in IGNORED:
+                    work.append((status.getPath(), f"{prefix}{name}/"))
+            elif status.getLen() <= LARGEST and os.path.splitext("x" + name)[1].lower() in supported:
+                out.append((prefix + name, int(status.getLen()), status.getPath().toString()))
+    return sorted(out)
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size): relative paths of supported files of at most LARGEST bytes outside ignored folders."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root).select("path", "length")
-    return _kept(df, root).select("path", F.col("length").alias("size_bytes"))
+    """(path, size_bytes) of the files of a repository."""
+    return spark.createDataFrame([(p, n) for p, n, _ in listing(spark, root)], "path string, size_bytes long")
+
 
+def _load(batches):
+    import re
 
-def _kept(df: DataFrame, root: str) -> DataFrame:
-    base = root if ":" in root else os.path.abspath(root)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    rel = ids.repo_relative(plain, base.removeprefix("file://"))
-    df = df.withColumn("path", rel).filter(F.col("length") <= LARGEST)
-    segments = F.slice(F.split("path", "/", -1), F.lit(1), F.size(F.split("path", "/", -1)) - 1)
-    return df.filter(~F.arrays_overlap(segments, F.array(*map(F.lit, IGNORED)))).filter(ids.extname(F.col("path")).isin(*registry.extensions()))
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    for b in batches:
+        content = []
+        for place in b.column(1).to_pylist():
+            fs, path = pafs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?=[^/])", "file:///", place.replace("%", "%25").replace(" ", "%20"))))
+            with fs.open_input_file(path) as f:
+                content.append(f.read())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], ["path", "content"])
 
 
 def read(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
-    """(repo_id, path, name, extension, language, content, size_bytes, content_hash) of a repository; text is decoded before it is hashed."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
-    return describe(_kept(df, root).select("path", F.decode("content", "UTF-8").alias("content")), repo_id)
+    """(repo_id, path, name, extension, language, content, size_bytes, content_hash) of a repository.
+
+    Files are dealt out by place and read in tasks. Text is decoded before it is hashed; what isn't UTF-8 becomes U+FFFD.
+    """
+    places = spark.createDataFrame([(p, place) for p, _, place in listing(spark, root)], "path string, place string")
+    raw = places.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(_load, "path string, content binary")
+    return describe(raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")), repo_id)
 
 
 def describe(df: DataFrame, repo_id: str) -> DataFrame:

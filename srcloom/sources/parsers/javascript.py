@@ -7,11 +7,14 @@ from .lexer import CLOSE, Token, finish, import_row, matches, symbol, tokenize
 _NOT_CALLED = frozenset("if for while switch catch with function return typeof await yield void delete in of instanceof case throw else do new super import this class extends async".split())
 _MODIFIERS = frozenset("static async get set public private protected readonly abstract override declare accessor".split())
 _ENDS = frozenset("; ,".split())
+#: Files in which < is never markup.
+_PLAIN = (".ts", ".mts", ".cts")
+_TYPE_WORDS = frozenset(". , | & [ ] ? : ; ... => { } ( )".split())
 
 
 class _File:
-    def __init__(self, content: str):
-        self.tokens: list[Token] = tokenize(content, regex=True, template=True)
+    def __init__(self, content: str, markup: bool = False):
+        self.tokens: list[Token] = tokenize(content, regex=True, template=True, markup=markup)
         self.match = matches(self.tokens)
         self.imports: list[dict] = []
         self.symbols: list[dict] = []
@@ -183,8 +186,25 @@ class _File:
                 self.call(i, caller)
             elif t == "]" and self.text(i + 1) == "(":
                 self.call(i, caller)
+            elif kind == "name" and self.text(i + 1) == "<" and (t not in _NOT_CALLED or self.text(i - 1) in (".", "?.")) and self.type_arguments(i + 1, end):
+                self.call(i, caller)
             i = max(i + 1, start + 1)
 
+    def type_arguments(self, i: int, end: int) -> bool:
+        """Whether type arguments open at i, with a call's parenthesis behind them."""
+        depth = 0
+        while i < end:
+            t, kind = self.text(i), self.kind(i)
+            depth += (t == "<") - (t == ">")
+            if depth == 0:
+                return self.text(i + 1) == "("
+            if kind == "punct" and t not in _TYPE_WORDS and t not in ("<", ">"):
+                return False
+            if t in (";", "}") or (t == ")" and self.match[i] < 0):
+                return False
+            i = self.match[i] + 1 if t in ("(", "[", "{") and self.match[i] > i else i + 1
+        return False
+
     def call(self, i: int, caller: str | None) -> None:
         if self.text(i) == "require" and self.text(i - 1) != "." and self.kind(i + 2) == "string" and self.text(i + 3) == ")":
             self.imports.append(import_row(self.text(i + 2), self.line(i), require=True))
@@ -249,6 +269,10 @@ class _File:
                 k += 1
                 continue
             head, is_async = k, False
+            if self.text(k) == "static" and self.text(k + 1) == "{":  # a block that runs once
+                self.walk(k + 2, self.match[k + 1], caller, name, False)
+                k = self.match[k + 1] + 1
+                continue
             while self.text(k) in _MODIFIERS and self.text(k + 1) not in ("(", "=", ";", ":"):
                 is_async |= self.text(k) == "async"
                 k += 1
@@ -356,7 +380,7 @@ class _File:
 
 
 def parse(path: str, content: str) -> dict:
-    f = _File(content)
+    f = _File(content, not path.lower().endswith(_PLAIN))
     if sum(t.text in ("{", "(", "[") for t in f.tokens if t.kind == "punct") != sum(t.text in ("}", ")", "]") for t in f.tokens if t.kind == "punct"):
         raise SyntaxError("unbalanced brackets")
     f.walk(0, len(f.tokens), None, None, False)

@@ -25,12 +25,27 @@ class Token:
     newline: bool  # whether a line break stands before it
 
 
-def tokenize(src: str, *, regex: bool = False, template: bool = False, hash_comments: bool = False, char_quotes: bool = True, _line: int = 1, _at: int = 0, _end: int | None = None) -> list[Token]:
-    """Tokens of a text. Template literals give a string token and, in brackets of their own, the tokens of their expressions."""
+#: What begins an element of markup in an expression, rather than a comparison or a type parameter.
+_ELEMENT = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?!\s*,|\s+extends\b)(?=\s*/?>|\s+[A-Za-z_{$/]|\s*\{))")
+
+
+def tokenize(src: str, *, regex: bool = False, template: bool = False, hash_comments: bool = False, char_quotes: bool = True, markup: bool = False, _line: int = 1, _at: int = 0, _end: int | None = None) -> list[Token]:
+    """Tokens of a text. Template literals, and elements of markup, give a string token and, in brackets of their own, the tokens of their expressions."""
     out: list[Token] = []
-    i, line, end, fresh = _at, _line, len(src) if _end is None else _end, True
+    _scan(src, out, _at, len(src) if _end is None else _end, _line, {"regex": regex, "template": template, "hash_comments": hash_comments, "char_quotes": char_quotes, "markup": markup})
+    return out
+
+
+def _scan(src: str, out: list[Token], i: int, end: int, line: int, how: dict, inner: bool = False) -> tuple[int, int]:
+    """Appends the tokens from i on; (index, line) of the end or, for an inner expression, of the brace that closes it."""
+    regex, template, hash_comments, char_quotes, markup = how["regex"], how["template"], how["hash_comments"], how["char_quotes"], how["markup"]
+    fresh, depth = True, 0
     while i < end:
         c = src[i]
+        if inner and c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth < 0:
+                return i, line
         if c == "\n":
             line, i, fresh = line + 1, i + 1, True
         elif c.isspace() or c == "﻿":
@@ -51,7 +66,10 @@ def tokenize(src: str, *, regex: bool = False, template: bool = False, hash_comm
             line += src.count("\n", i, min(j + 1, end))
             i, fresh = j + 1, False
         elif c == "`":
-            i, line = _template(src, i, end, line, fresh, out, regex, template)
+            i, line = _template(src, i, end, line, fresh, out, how)
+            fresh = False
+        elif markup and c == "<" and (not out or out[-1].text in _BEFORE_REGEX) and _ELEMENT.match(src, i, end):
+            i, line = _element(src, i, end, line, fresh, out, how)
             fresh = False
         elif regex and c == "/" and (not out or out[-1].text in _BEFORE_REGEX) and (m := re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[A-Za-z]*").match(src, i, end)):
             out.append(Token("regex", m[0], line, i, fresh))
@@ -65,16 +83,64 @@ def tokenize(src: str, *, regex: bool = False, template: bool = False, hash_comm
                 m, kind = _PUNCT.match(src, i, end), "punct"
             out.append(Token(kind, m[0], line, i, fresh))
             i, fresh = m.end(), False
-    return out
+    return i, line
+
+
+def _braced(src, i, end, line, out, how) -> tuple[int, int]:
+    """The expression in the braces that open at i, in brackets of its own."""
+    out.append(Token("punct", "`(", line, i, False))
+    i, line = _scan(src, out, i + 1, end, line, how, inner=True)
+    out.append(Token("punct", "`)", line, i, False))
+    return min(i + 1, end), line
+
+
+def _element(src, i, end, line, fresh, out, how) -> tuple[int, int]:
+    """An element of markup with all that it holds: names, attributes and text are no tokens, expressions in braces are."""
+    out.append(Token("string", "", line, i, fresh))
+    depth = 0
+    while i < end:
+        if src.startswith("</", i):
+            stop = src.find(">", i, end)
+            stop = end if stop < 0 else stop + 1
+            line, i, depth = line + src.count("\n", i, stop), stop, depth - 1
+        elif src[i] == "<":
+            i, depth = i + 1, depth + 1
+            while i < end:
+                c = src[i]
+                if src.startswith("/>", i):
+                    i, depth = i + 2, depth - 1
+                    break
+                if c == ">":
+                    i += 1
+                    break
+                if c in "'\"":
+                    stop = src.find(c, i + 1, end)
+                    stop = end if stop < 0 else stop + 1
+                    line, i = line + src.count("\n", i, stop), stop
+                elif c == "{":
+                    i, line = _braced(src, i, end, line, out, how)
+                else:
+                    line += c == "\n"
+                    i += 1
+        elif src[i] == "{":
+            i, line = _braced(src, i, end, line, out, how)
+        else:
+            line += src[i] == "\n"
+            i += 1
+        if depth <= 0:
+            break
+    # what follows an element isn't a regular expression
+    out.append(Token("string", "", line, min(i, end) - 1, False))
+    return i, line
 
 
-def _template(src, i, end, line, fresh, out, regex, template) -> tuple[int, int]:
+def _template(src, i, end, line, fresh, out, how) -> tuple[int, int]:
     start, j = i, i + 1
     out.append(Token("string", "", line, start, fresh))
     while j < end and src[j] != "`":
         if src[j] == "\\":
             j += 2
-        elif template and src.startswith("${", j):
+        elif how["template"] and src.startswith("${", j):
             depth, k = 1, j + 2
             while k < end and depth:
                 if src[k] == "`":
@@ -89,7 +155,7 @@ def _template(src, i, end, line, fresh, out, regex, template) -> tuple[int, int]
                 k += 1
             inner = line + src.count("\n", start, j)
             out.append(Token("punct", "`(", inner, j, False))
-            out += tokenize(src, regex=regex, template=template, _line=inner, _at=j + 2, _end=k - 1)
+            _scan(src, out, j + 2, k - 1, inner, how)
             out.append(Token("punct", "`)", line + src.count("\n", start, k), k - 1, False))
             j = k
         else:

@@ -79,6 +79,36 @@ def test_discover(spark, tmp_path):
     assert {r["path"] for r in source.discover(spark, str(tmp_path)).collect()} == {"src/a.ts", "mybuild/b.py", "at.js"}
 
 
+def test_read_files_as_they_are(spark, tmp_path):
+    """Names that begin with _ or a dot, blanks and signs in names, and bytes that aren't UTF-8."""
+    good = {"pkg/__init__.py": b"x = 1\n", "__tests__/a.js": b"f();\n", "_app.tsx": b"export const a = 1;\n", ".eslintrc.js": b"module.exports = {};\n", "a b/c%20d.js": b"g();\n", "bad.js": b"let a = '\xff\xfe';\n", "empty.js": b""}
+    for p, text in {**good, ".git/hook.js": b"no();", "src/node_modules/x.js": b"no();"}.items():
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(text)
+    (tmp_path / "link.js").symlink_to(tmp_path / "bad.js")
+    got = {r["path"]: r for r in source.read(spark, str(tmp_path), "r").collect()}
+    assert set(got) == set(good) == {r["path"] for r in source.discover(spark, str(tmp_path)).collect()}
+    for p, text in good.items():
+        assert got[p]["content"] == text.decode("utf-8", "replace")
+    assert got["bad.js"]["content"] == "let a = '\ufffd\ufffd';\n"
+    assert source.read(spark, str(tmp_path / ".git"), "r").count() == 1
+
+
+def test_javascript_as_it_is_written():
+    p = parse("javascript", "class A {\n  static { init(); }\n  one() { identity<string>(x); a < b; this.m.get<Map<string, number[]>>('k'); }\n  two() {}\n}\n")
+    assert names(p) == ["A", "A.one", "A.two"] and [c["callee_name"] for c in p["calls"]] == ["init", "identity", "m.get"]
+    text = "export function App() {\n  const [n] = useState(0);\n  return (\n    <div className=\"it's\" onClick={() => go(n)}>\n      <p>it's {label(n)} & more</p>\n      <Item {...rest} /> don't\n      <>{n ? <b>can't</b> : null}</>\n    </div>\n  );\n}\nexport function after() { last(); }\n"
+    p = registry_parse("a.jsx", text)
+    assert p["error"] is None and names(p) == ["App", "after"] and [(c["callee_name"], c["line"]) for c in p["calls"]] == [("useState", 2), ("go", 4), ("label", 5), ("last", 11)]
+    assert names(registry_parse("a.tsx", "const id = <T extends object>(x: T) => x;\nconst two = <T,>(x: T) => f(x);\n")) == ["id", "two"]
+    assert [c["callee_name"] for c in registry_parse("a.ts", "const y = <Foo>bar(x);\nif (a < b && c > (d)) { e(); }\n")["calls"]] == ["bar", "e"]
+
+
+def registry_parse(path, text):
+    return registry.parse_text("javascript", path, text)
+
+
 def test_incremental_run(spark, tmp_path):
     repo = Repository(spark, f"file://{tmp_path}/store")
     v1 = [("a.js", "export function one() {}\n"), ("b.js", "import { one } from './a.js';\nexport function two() { one(); }\n"), ("c.js", "export function three() {}\n")]
@@ -154,9 +184,10 @@ def test_duplicates_are_exact(spark):
             s = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
             if x < y and s >= 0.85 and path[x] != path[y]:
                 want[x, y] = round(s, 6)
-    for i in sorted(sets):
-        if first[sets[i]] != i and path[first[sets[i]]] != path[i]:
-            want[first[sets[i]], i] = 1.0
+    for i in sorted(sets):  # each member of a class with the first of it in another path
+        others = [j for j in sorted(sets) if sets[j] == sets[i] and path[j] != path[i]]
+        if others:
+            want[min(i, others[0]), max(i, others[0])] = 1.0
     assert got == want and want
 
 
@@ -183,8 +214,12 @@ def test_tokens_and_stems(spark):
 
 def test_vectors(spark):
     v = X.frame(spark, [("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("z", [0.0, 0.0])], "id string, embedding array<double>")
-    lex = X.frame(spark, [("b", 2.0), ("c", 5.0)], "id string, score double")
-    got = {r["id"]: round(r["score"], 4) for r in retrieval.blend(lex, v, [1.0, 0.0]).collect()}
+    lex = X.frame(spark, [(1, "b", 2.0), (1, "c", 5.0), (2, "a", 3.0)], "query_id long, id string, score double")
+    queries = X.frame(spark, [(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    rows = retrieval.blend(lex, v, queries).collect()
+    got = {r["id"]: round(r["score"], 4) for r in rows if r["query_id"] == 1}
+    assert [tuple(r) for r in rows if r["query_id"] == 2] == [(2, "a", 3.0)] and retrieval.blend(lex, v, None).count() == 3
+    assert retrieval.similar(v, v.select(F.col("id").alias("query_id"), "embedding")).count() == 9
     assert got["c"] == 5.0 and got["a"] == 0.35 and abs(got["b"] - (0.4 + 0.35 * 0.9939)) < 1e-3 and "z" not in got
     with pytest.raises(Exception, match="differ in number"):
         retrieval.with_embeddings(X.frame(spark, [("a",)], "id string"), v).collect()
@@ -201,6 +236,8 @@ def test_upsert_and_store(spark):
     schema = "repo_id string, id string, name string"
     old, new = X.frame(spark, [("r", "1", "a"), ("r", "2", "b")], schema), X.frame(spark, [("r", "2", "x"), ("q", "1", "y")], schema)
     assert sorted(map(tuple, store.upsert(old, new, ["repo_id", "id"]).collect())) == [("q", "1", "y"), ("r", "1", "a"), ("r", "2", "x")]
+    twice = X.frame(spark, [("r", "9", "first"), ("r", "9", "last")], schema)
+    assert ("r", "9", "last") in set(map(tuple, store.upsert(old, twice, ["repo_id", "id"]).collect())) and store.upsert(old, twice, ["repo_id", "id"]).count() == 3
     nodes = X.frame(spark, [(i, i) for i in range(1200)], "id int, k int")
     assert sorted(r["count"] for r in store.batches(nodes, F.col("id")).groupBy("batch").count().collect()) == [200, 500, 500]
 
@@ -280,5 +317,44 @@ def test_duplicates_across_files_with_the_same_variants(spark):
     rows = [("A.f", "A", f), ("A.g", "A", g), ("B.f", "B", f), ("B.g", "B", g)]
     got = {(r["a"], r["b"]) for r in quality.duplicates(spark.createDataFrame(rows, "id string, path string, body string")).collect()}
     assert got == {("A.f", "B.f"), ("A.g", "B.g"), ("A.f", "B.g"), ("A.g", "B.f")}
+    rows3 = [("1", "p", f), ("2", "q", f), ("3", "p", g), ("4", "p", f)]  # every member has a partner in another path
+    got = {(r["a"], r["b"]) for r in quality.duplicates(spark.createDataFrame(rows3, "id string, path string, body string")).collect()}
+    assert got == {("1", "2"), ("2", "4"), ("2", "3")}
     one_file = [(i, "A", b) for i, _, b in rows]
     assert quality.duplicates(spark.createDataFrame(one_file, "id string, path string, body string")).count() == 0
+
+
+def test_stream_takes_the_first_event_in_any_order(spark, tmp_path):
+    from srcloom.streaming import jobs as stream
+
+    schema = "event_seq long, job_id string, status string, attempt int, created_at long, started_at long, finished_at long"
+    late, early = [(9, "j", "failed", 1, 0, 10, 500)], [(2, "j", "completed", 1, 0, 10, 110), (3, "k", "completed", 1, 0, None, 50)]
+    folder = str(tmp_path / "in.parquet")
+    for rows in (late, early):  # the later event arrives first
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    got = stream.run_to_end(spark, folder, lambda df: df).first()
+    assert tuple(got) == (2, 50, 75, 100)
+
+
+def test_findings_of_cycles_and_prune(spark):
+    from srcloom.operators import quality
+
+    cycles = X.frame(spark, [(["a", "b"], ["a.ts", "b.ts"], 2), (list("abcd"), list("abcd"), 4)], "node_ids array<string>, paths array<string>, size int")
+    got = {r["id"]: r for r in quality.circular_imports(cycles).collect()}
+    assert got["cycle:a|b"]["severity"] == "medium" and got["cycle:a|b|c|d"]["severity"] == "high" and got["cycle:a|b"]["metric"] == 2.0
+
+
+def test_a_failed_analysis_leaves_the_store(spark, tmp_path, monkeypatch):
+    from srcloom.operators import resolve
+
+    repo = Repository(spark, f"file://{tmp_path}/store")
+    frame = lambda text: X.frame(spark, [("a.js", text)], "path string, content string")
+    repo.analyse(frame("export function one() {}\n"), "r")
+    before = sorted(map(str, repo.read("nodes", "r").collect()))
+    monkeypatch.setattr(resolve, "resolve", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        repo.analyse(frame("export function two() {}\n"), "r")
+    assert sorted(map(str, repo.read("nodes", "r").collect())) == before and repo.version("r") == 1
+    monkeypatch.undo()
+    repo.analyse(frame("export function two() {}\n"), "r")
+    assert repo.version("r") == 2 and repo.read("nodes", "r").filter("name = 'two'").count() == 1
