@@ -358,3 +358,18 @@ def test_a_failed_analysis_leaves_the_store(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     repo.analyse(frame("export function two() {}\n"), "r")
     assert repo.version("r") == 2 and repo.read("nodes", "r").filter("name = 'two'").count() == 1
+
+
+def test_materialise_leaves_no_shuffle_files(spark):
+    from srcloom.functions.lineage import _CLEANUP, materialise
+
+    def shuffle_files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    grouped = spark.range(10_000).selectExpr("id % 100 AS k").groupBy("k").count()
+    before, setting = shuffle_files(), spark.conf.get(_CLEANUP, None)
+    first, second = materialise(grouped), materialise(grouped)
+    assert not {x for x in shuffle_files() - before if x.startswith("shuffle_")}
+    assert first.count() == second.count() == grouped.count() == 100
+    assert spark.conf.get(_CLEANUP, None) == setting
