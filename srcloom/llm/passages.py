@@ -12,7 +12,10 @@ the others do, so two further ways follow, both over slices (the shingles around
 * equal runs: RUN = 41 equal shingles (45 words) alone make two passages of LEAST shingles similar, whoever the hub is, so
   documents meet by the hash of a run, and a star over such a key holds without verification. Of each LEAST - RUN + 1 runs in a
   row that with the least hash is taken in every document alike, and a passage of LEAST equal shingles always holds one.
-* other links are verified by the slices' Jaccard similarity; members that fail their hub form a new star, RETRIES times.
+* other links are verified by the slices' Jaccard similarity. What fails its hub is compared with all else that met the hub's
+  slice, by a prefix filter within that group: of LEAST shingles the LEAST - ENOUGH + 1 rarest of the group can't all be missing
+  in a similar passage, and where too few occur in any other slice there is none. This leaves out no pair; only a pair whose
+  passages are linked already, directly or through others of the group, isn't compared again.
 
 Edge cases: null, empty and short texts have no windows; repetition inside one document (or under one repeated id) doesn't
 count; rows with a null id are left out; equal hashes give one window each; an empty table gives an empty result.
@@ -35,7 +38,8 @@ FUNCTIONS = 6
 #: Shared shingles of two passages of LEAST that make them similar, and the equal run that does so alone.
 ENOUGH = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * LEAST))
 RUN = ENOUGH
-RETRIES = 3
+#: Slices that are compared with each other at once; larger groups are dealt into tiles, each pair of which is.
+TILE = 4096
 #: Documents are compared by slices of STRIDE shingles and REACH more on either side, so that a passage around any place of a slice lies within.
 STRIDE = 4 * LEAST
 REACH = LEAST - 1
@@ -395,12 +399,11 @@ def _place(own, x, y, other, shift) -> tuple[int, int] | None:
     return (u, v) if v - u >= LEAST and _similar(own[x:y], other[u:v]) else None
 
 
-_FOUND = ["hub", "hub_c", "hub_start", "hub_end", "doc", "c", "start", "end", "lead", "own"]
-_FOUND_TYPES = [pa.int64()] * 9 + [pa.binary()]
+_FOUND = ["hub", "hub_c", "hub_start", "hub_end", "doc", "c", "start", "end"]
 
 
 def _verify(batches):
-    """Rows of the passages on which links agree; a link that doesn't agree gives one row, with the document's slice."""
+    """Rows of the passages on which links agree; a link that doesn't agree gives one row without passages."""
     for b in batches:
         hub, hub_c, hub_lead, hub_own, doc, c, lead, own = (x.to_pylist() for x in b.columns)
         hub_at = [x // STRIDE * STRIDE - y for x, y in zip(hub_c, hub_lead)]  # where the slices begin
@@ -412,16 +415,157 @@ def _verify(batches):
             for p, x, y, u, v in found:
                 p += i
                 agreed[p] = True
-                out.append((hub[p], hub_c[p], hub_at[p] + u, hub_at[p] + v + SHINGLE - 1, doc[p], c[p], at[p] + x, at[p] + y + SHINGLE - 1, None, None))
-        out += [(hub[p], hub_c[p], None, None, doc[p], c[p], None, None, lead[p], own[p]) for p in np.flatnonzero(~agreed).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_FOUND_TYPES)], _FOUND)
+                out.append((hub[p], hub_c[p], hub_at[p] + u, hub_at[p] + v + SHINGLE - 1, doc[p], c[p], at[p] + x, at[p] + y + SHINGLE - 1))
+        out += [(hub[p], hub_c[p], None, None, doc[p], c[p], None, None) for p in np.flatnonzero(~agreed).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(_FOUND))], _FOUND)
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """_verify of pairs of slices."""
-    pairs = pairs.select("hub", "hub_c", "hub_lead", "hub_own", "doc", "c", "lead", "own")
-    schema = ", ".join(f"{x} {'binary' if x == 'own' else 'long'}" for x in _FOUND)
-    return materialise(pairs.mapInArrow(_verify, schema), "verified")
+class Group:
+    """Slices that met one hub: what failed it is compared with all others.
+
+    docs, blocks and failed have a value a slice; covered has the passages (start, end) on which it agreed with the hub. Of slices
+    of different blocks all pairs are compared, of those of one block only if `within`.
+    """
+
+    def __init__(self, docs, own: list[np.ndarray], failed, covered: list[list[tuple[int, int]]], blocks, within: bool = True):
+        self.docs, self.own, self.failed, self.blocks, self.within = np.asarray(docs), own, np.asarray(failed, bool), np.asarray(blocks), within
+        k, lens = len(own), np.array([len(x) for x in own], np.int64)
+        self.end = np.cumsum(lens)
+        self.start = self.end - lens
+        self.owner = np.repeat(np.arange(k), lens)
+        _, self.token = np.unique(np.concatenate(own), return_inverse=True)
+        self.open = [np.ones(max(0, n - LEAST + 1), bool) for n in lens.tolist()]
+        for i in range(k):
+            for x, y in covered[i]:
+                self._close(i, x, y)
+        #: Slices of one root are linked within the group.
+        self.root = np.where(self.failed & np.array([not c for c in covered]), np.arange(k) + 1, 0)
+        self.alive = np.ones(k, bool)
+        good = self._prune()
+        kept = np.flatnonzero(self.alive[self.owner])
+        self.post = kept[np.argsort(self.token[kept], kind="stable")]
+        self.size = np.bincount(self.token[kept], minlength=int(self.token.max(initial=0)) + 1)
+        self.first = np.cumsum(self.size) - self.size
+        self.good = good
+
+    def _close(self, i, x, y):
+        """The passages of LEAST shingles of slice i that have ENOUGH of them within x .. y are linked."""
+        self.open[i][max(0, x - LEAST + ENOUGH) : max(0, y - ENOUGH + 1)] = False
+
+    def _prune(self) -> np.ndarray:
+        """By place, whether LEAST shingles from there on have ENOUGH in other slices; slices that failed and have no such place go."""
+        label = np.where(self.failed, np.arange(len(self.own)) + 1, 0)
+        whole = np.arange(len(self.token)) + LEAST <= self.end[self.owner]
+        while True:
+            live = self.alive[self.owner]
+            low = np.full(int(self.token.max(initial=0)) + 1, len(self.own) + 1)
+            high = np.full(len(low), -1)
+            np.minimum.at(low, self.token[live], label[self.owner[live]])
+            np.maximum.at(high, self.token[live], label[self.owner[live]])
+            sums = np.concatenate([[0], np.cumsum((high > low)[self.token])])
+            good = np.zeros(len(self.token), bool)
+            at = np.flatnonzero(whole & live)
+            good[at] = sums[at + LEAST] - sums[at] >= ENOUGH
+            have = np.zeros(len(self.own), bool)
+            have[self.owner[good]] = True
+            gone = self.alive & self.failed & ~have
+            if not gone.any():
+                return good
+            self.alive &= ~gone
+
+    def links(self):
+        """(i, j, start and end in i, start and end in j), ends exclusive."""
+        for i in np.flatnonzero(self.alive & self.failed).tolist():
+            yield from self._links(i)
+
+    def _links(self, i):
+        others = self.alive & (self.docs != self.docs[i])
+        if not self.within:
+            others &= self.blocks != self.blocks[i]
+        w = np.flatnonzero(self.good[self.start[i] : self.end[i]])
+        if not self.open[i][w].any() and (self.root[others] == self.root[i]).all():
+            return
+        token = self.token[self.start[i] : self.end[i]]
+        rank = np.lib.stride_tricks.sliding_window_view(self.size[token], LEAST)[w]
+        rare = w[:, None] + np.argpartition(rank, LEAST - ENOUGH, axis=1)[:, : LEAST - ENOUGH + 1]
+        places = np.unique(rare)
+        n = self.size[token[places]]
+        at = np.repeat(places, n)
+        post = self.post[np.repeat(self.first[token[places]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        fit = others[self.owner[post]]
+        at, post = at[fit], post[fit]
+        j = self.owner[post]
+        if not len(j):
+            return
+        shift = post - self.start[j] - at
+        pair, times = np.unique(j << 32 | shift + (1 << 31), return_counts=True)
+        best = np.lexsort((-times, pair >> 32))  # the most frequent diagonal of each pair
+        best = best[np.concatenate([[True], np.diff(pair[best] >> 32) > 0])]
+        js, shifts = pair[best] >> 32, (pair[best] & 0xFFFFFFFF) - (1 << 31)
+        tried, most = np.zeros(len(js), bool), 1
+        later = ~self.failed[js] | (js > i)  # earlier ones have been compared with this slice, but for their passages that were linked by then
+        while True:
+            still = np.isin(js, j[np.isin(at, rare[self.open[i][w]])])
+            todo = np.flatnonzero(~tried & (still | later & (self.root[js] != self.root[i])))
+            if not len(todo):
+                return
+            todo = todo[np.argsort(self.root[js[todo]], kind="stable")]  # some of each root at first, then more
+            r = self.root[js[todo]]
+            begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            todo = todo[np.arange(len(r)) - np.repeat(begin, np.diff(np.append(begin, len(r)))) < most]
+            tried[todo] = True
+            most *= 2
+            for k in range(0, len(todo), 500):
+                part = todo[k : k + 500]
+                for p, x, y, u, v in agreements([self.own[i]] * len(part), np.zeros(len(part), np.int64), [self.own[m] for m in js[part]], shifts[part]):
+                    m = int(js[part[p]])
+                    self._close(i, x, y)
+                    self._close(m, u, v)
+                    self.root[self.root == self.root[m]] = self.root[i]
+                    yield i, m, x, y, u, v
+
+
+def _compare(batches):
+    """Rows come sorted by group and tile: the links of Group, with the smaller id as the hub."""
+    held: list[tuple] = []
+
+    def flush():
+        _, a, b = held[0][:3]
+        rows = [x[3:] for x in held]
+        held.clear()
+        docs, at = [r[1] for r in rows], [r[2] for r in rows]
+        covered = [[(x["start"] - r[2], x["end"] - SHINGLE + 1 - r[2]) for x in r[4]] for r in rows]
+        out = []
+        if len(rows) > 1:
+            for i, j, x, y, u, v in Group(docs, [np.frombuffer(r[5], np.uint32) for r in rows], [r[3] for r in rows], covered, [r[0] for r in rows], a == b).links():
+                one, two = (docs[i], at[i] + x, at[i] + y + SHINGLE - 1), (docs[j], at[j] + u, at[j] + v + SHINGLE - 1)
+                out.append(min(one, two) + max(one, two))
+        for k in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[k : k + 10_000])], ["hub", "hub_start", "hub_end", "doc", "start", "end"])
+
+    for b in batches:
+        for row in zip(*(x.to_pylist() for x in b.columns)):
+            if held and held[0][:3] != row[:3]:
+                yield from flush()
+            held.append(row)
+    if held:
+        yield from flush()
+
+
+def _others(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (as those of `links`) between what failed its hub and all else that met the hub's slice."""
+    cell = lambda x: F.floor(F.col(x) / STRIDE).cast("int")
+    span = F.when(F.col("start").isNotNull(), F.struct("start", "end"))
+    members = found.groupBy(F.xxhash64("hub", cell("hub_c")).alias("top"), "doc", cell("c").alias("g")).agg(F.max(F.col("start").isNull()).alias("failed"), F.collect_set(span).alias("covered"))
+    members = materialise(members, "members")
+    sizes = members.groupBy("top").agg(F.count("*").alias("n"), F.max("failed").alias("any")).filter("any AND n > 1").select("top", "n")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = join_by_share(members, sizes, "top", "n", max(1, members.count())).withColumn("block", F.pmod(F.xxhash64("doc"), tiles).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1))).join(parts, ["doc", "g"])
+    rows = rows.select("top", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "doc", (F.col("g") * STRIDE - F.col("lead")).alias("at"), "failed", "covered", "own")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "top", "a", "b").sortWithinPartitions("top", "a", "b", "doc", "at")
+    return rows.mapInArrow(_compare, "hub long, hub_start long, hub_end long, doc long, start long, end long")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,24 +584,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     mine = edges.withColumn("g", cell("c")).join(parts, ["doc", "g"]).select(at, "hub_c", "doc", "c", "lead", "own")
     hubs = edges.groupBy(F.col("hub").alias("doc"), cell("hub_c")).agg(F.count("*").alias("n")).join(parts, ["doc", "g"])
     hubs = materialise(hubs.select(F.struct(F.col("doc").alias("hub"), "g").alias("at"), "n", F.col("doc").alias("hub"), F.col("lead").alias("hub_lead"), F.col("own").alias("hub_own")), "hubs")
-    found = [_verified(join_by_share(mine, hubs, "at", "n", total))]  # a hub slice that many links share goes to them, not they to it
-    drop(hubs, parts, edges)
-    # what fails its hub meets the next document that did, slices in hand
-    for _ in range(RETRIES):
-        failed = found[-1].filter("start IS NULL").select(F.struct("hub", "hub_c").alias("at"), "doc", "c", "lead", "own")
-        count = F.count("*").alias("n")
-        nexts = failed.groupBy("at").agg(F.min(F.struct("doc", "c", "lead", "own")).alias("next"), count).filter("n > 1")
-        nexts = materialise(nexts.select("at", "n", F.col("next.doc").alias("hub"), F.col("next.c").alias("next_c"), F.col("next.lead").alias("hub_lead"), F.col("next.own").alias("hub_own")), "next")
-        total = failed.count()
-        if nexts.isEmpty():
-            break
-        again = join_by_share(failed, nexts, "at", "n", total).filter("doc <> hub").withColumn("hub_c", F.col("next_c"))
-        found.append(_verified(again))
-        drop(nexts)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.filter("start IS NOT NULL").select("hub", "hub_start", "hub_end", "doc", "start", "end")
+    pairs = join_by_share(mine, hubs, "at", "n", total).select("hub", "hub_c", "hub_lead", "hub_own", "doc", "c", "lead", "own")  # a hub slice that many links share goes to them, not they to it
+    found = materialise(pairs.mapInArrow(_verify, ", ".join(f"{x} long" for x in _FOUND)), "verified")
+    drop(hubs, edges)
+    more = materialise(_others(found, parts), "others")
+    drop(parts)
+    return found.filter("start IS NOT NULL").select("hub", "hub_start", "hub_end", "doc", "start", "end").unionByName(more)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

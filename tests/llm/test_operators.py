@@ -637,6 +637,59 @@ def test_classes_against_brute_force(spark, prose):
     assert len(linked) > 30 and got == {i: int(label[i]) for i in {i for pair in linked for i in pair}}
 
 
+def test_similar_passages_behind_many_failing_hubs(spark, prose):
+    """An edited passage whose keys smaller ids hold without being similar to it or to each other, as each has two words changed: the pair is linked all the same."""
+    texts, pairs = [], []
+    for k in range(8):
+        p = prose(50, 7000 + k).split()
+        for i in range(60):
+            hub = list(p)
+            hub[8 + i % 12], hub[30 + i // 12] = f"one{i}", f"two{i}"
+            texts.append(f"{prose(20, 7100 + 100 * k + i)} {' '.join(hub)} {prose(20, 8100 + 100 * k + i)}")
+        for edit in (p[25], "changed"):
+            texts.append(f"{prose(20, 9500 + len(texts))} {' '.join([*p[:25], edit, *p[26:]])} {prose(20, 10500 + len(texts))}")
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    assert all(brute_linked(texts[i], texts[j]) for i, j in pairs) and not any(brute_linked(texts[0], texts[j]) for j in (1, 12, 60, 61))
+    got = {x["doc_id"]: x["class_id"] for x in passages.repeated(docs(spark, texts)).collect()}
+    assert got == {x: i for i, j in pairs for x in (i, j)}
+
+
+def group_of(seed):
+    """Slices of random shingles around one phrase, of which some share an edited passage, and all pairs that agree."""
+    r = np.random.default_rng(seed)
+    draw = lambda n: r.integers(0, 1 << 32, n).astype(np.uint32)
+    phrase, own = draw(30), []
+    for k in range(12):
+        if k % 3 == 0:
+            own.append(np.concatenate([draw(60), phrase, draw(60)]))
+        else:
+            one = draw(50)
+            one[:30] = phrase
+            for n in (4, 0, 4):
+                edited = one.copy()
+                at = r.integers(0, 46)
+                edited[at : at + n] = draw(n)
+                own.append(np.concatenate([draw(r.integers(0, 80)), edited, draw(r.integers(0, 80))]))
+    linked = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) for s in [next((len(own[i]) and int(np.flatnonzero(own[j] == x)[0]) - a for a, x in enumerate(own[i]) if x in own[j]), 0)] if passages.agreements([own[i]], [0], [own[j]], [s])]
+    return own, linked
+
+
+@pytest.mark.parametrize("tile", (1, 4, 100))
+def test_groups_against_all_pairs(tile):
+    """What failed its hub is linked as by comparing all pairs, whether a group is one tile or many."""
+    for seed in range(5):
+        own, linked = group_of(seed)
+        k = len(own)
+        blocks, found = np.arange(k) // tile, []
+        for a in range(blocks[-1] + 1):
+            for b in range(a, blocks[-1] + 1):
+                at = np.flatnonzero((blocks == a) | (blocks == b))
+                g = passages.Group(at, [own[i] for i in at], np.ones(len(at), bool), [[] for _ in at], blocks[at], a == b)
+                found += [(int(at[i]), int(at[j])) for i, j, *_ in g.links()]
+        label = lambda pairs: common.union_find(k, np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])).tolist()
+        assert len(linked) >= 4 and label(found) == label(linked)
+
+
 def test_recall_of_edited_passages(spark, prose):
     """50 words with one changed, a Jaccard similarity just above 0.8: at least 0.95 are found (0.98 measured over 400)."""
     import random
