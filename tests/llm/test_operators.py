@@ -469,6 +469,20 @@ def test_rare_languages_have_models_of_their_own(spark, monkeypatch):
     assert counted.agg(F.sum("n")).first()[0] == sum(len(t) for _, t, _ in rows) and counted.count() == counted.select("model", "gram").distinct().count()
 
 
+def test_bands_come_from_exact_medians(spark):
+    """Medians of 200,000 values are those of all values, which a summary of them misses, however the rows are dealt; ties, single values and odd ranges too."""
+    r = np.random.default_rng(3)
+    values = {"=en": r.lognormal(0, 0.3, 200_000), "=de": np.concatenate([r.random(5000), [1e300]]), "=fr": np.repeat([1.0, 2.0, 3.0], [5, 2, 3]), "none": np.array([0.25]), "=es": np.array([5e-324, 0.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v]
+    want = {k: float(np.sort(v)[(len(v) - 1) // 2]) for k, v in values.items()}
+    df = spark.createDataFrame(rows, "model string, x double").cache()
+    for n in (2, 9):
+        assert ngram_rules.medians(df.repartition(n)) == want
+    summary = df.repartition(9).groupBy("model").agg(F.percentile_approx("x", 0.5, 10_000).alias("x")).collect()
+    assert {x["model"]: x["x"] for x in summary} != want
+    assert ngram_rules.medians(df.limit(0)) == {}
+
+
 def test_rows_are_judged_as_rows(spark, prose):
     texts = [prose(200, i) for i in range(40)]
     rows = [(1, texts[0]), (1, "too short"), (1, None), (None, texts[1]), (None, "")] + [(i + 2, t) for i, t in enumerate(texts[2:])]
